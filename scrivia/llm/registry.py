@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrivia.llm import url_filter
+from scrivia.llm import mixing, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_url_filters": url_filter.op1_url_filters}
+    return {
+        "op1_url_filters": url_filter.op1_url_filters,
+        "op6_source_mixing": mixing.op6_source_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": url_filter.OP1_SQL}
+    return {
+        "op1_url_filters": url_filter.OP1_SQL,
+        "op6_source_mixing": mixing.OP6_SQL,
+    }
