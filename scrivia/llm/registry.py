@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrivia.llm import mixing, url_filter
+from scrivia.llm import mixing, piece_bpe, token_count, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,7 +14,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_url_filters": url_filter.op1_url_filters,
+        "op2_sentencepiece": piece_bpe.op2_sentencepiece,
         "op6_source_mixing": mixing.op6_source_mixing,
+        "op9_token_counts": token_count.op9_token_counts,
     }
 
 
