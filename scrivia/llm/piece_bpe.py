@@ -23,11 +23,12 @@ from scrivia.llm.common import table
 from scrivia.llm.pretokens import PIECE_MODEL, SPACE, piece_segments, splits_at_spaces
 
 #: Pre-tokens that a worker keeps; longer ones are not kept.
-CACHED = 600_000
+CACHED = 400_000
 LONGEST_KEPT = 64
-#: Symbols that meet in one run of rounds, and bytes decoded in one step, about: this bounds memory.
-SYMBOLS = 1_000_000
-DECODED_BYTES = 2_000_000
+#: Symbols that meet in one run of rounds, and ids and bytes decoded in one step, about: this bounds memory.
+SYMBOLS = 500_000
+DECODED_IDS = 300_000
+DECODED_BYTES = 1_000_000
 #: Piece types of the model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 #: Texts whose new pre-tokens are encoded together.
@@ -207,25 +208,35 @@ class PieceBpe:
                 (self.cache if len(segment) <= LONGEST_KEPT else passing)[segment] = ids
         return passing
 
-    def encode(self, texts: list[str | None]) -> pa.ListArray:
+    def encode(self, texts: pa.Array) -> pa.ListArray:
         """Ids of whole texts as list<int32>, the end id last; a null text is empty."""
         end = np.array([self.end_id], np.int32).tobytes()
-        known, out = self.cache.__getitem__, []
+        known, parts = self.cache.__getitem__, []
         for at in range(0, len(texts), TOGETHER):
-            some = [piece_segments(t or "") for t in texts[at : at + TOGETHER]]
+            some = [piece_segments(t or "") for t in texts.slice(at, TOGETHER).to_pylist()]
             passing = self._learn(set().union(*some))
-            for segments in some:
-                if passing:
-                    out.append(b"".join([passing[s] if s in passing else known(s) for s in segments]) + end)
-                else:
-                    out.append(b"".join(map(known, segments)) + end)
-        offsets = np.concatenate([[0], np.cumsum([len(b) // 4 for b in out])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out), np.int32)))
+            if passing:
+                known_or_passing = lambda s: passing[s] if s in passing else known(s)
+                out = [b"".join(map(known_or_passing, segments)) + end for segments in some]
+            else:
+                out = [b"".join(map(known, segments)) + end for segments in some]
+            offsets = np.concatenate([[0], np.cumsum([len(b) // 4 for b in out])]).astype(np.int32)
+            parts.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out), np.int32))))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     # -- decoding
 
     def decode(self, ids: pa.ListArray) -> pa.StringArray:
         """Texts of lists of ids; null where the list is null."""
+        ends, parts, at = ids.offsets.to_numpy()[1:], [], 0
+        while at < len(ids):
+            upto = (int(ends[at - 1]) if at else int(ids.offsets[0].as_py())) + DECODED_IDS
+            to = max(at + 1, int(np.searchsorted(ends, upto, side="right")))
+            parts.append(self._decode(pa.concat_arrays([ids.slice(at, to - at)])))
+            at = to
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+    def _decode(self, ids: pa.ListArray) -> pa.StringArray:
         offsets = ids.offsets.to_numpy().astype(np.int64)
         flat = ids.values.to_numpy(zero_copy_only=False)
         sizes = self.sizes[flat]
@@ -315,7 +326,7 @@ def encode_documents(docs: DataFrame, text_col: str = "text", ids_col: str = "id
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        return piece_bpe(model).encode(texts.to_pylist())
+        return piece_bpe(model).encode(texts)
 
     return docs.withColumn(ids_col, encode(F.col(text_col)))
 
