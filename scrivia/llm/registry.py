@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrivia.llm import mixing, piece_bpe, token_count, url_filter
+from scrivia.llm import mixing, piece_bpe, token_count, token_files, top_k_search, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,7 +15,9 @@ def queries() -> dict[str, Query]:
     return {
         "op1_url_filters": url_filter.op1_url_filters,
         "op2_sentencepiece": piece_bpe.op2_sentencepiece,
+        "op5_token_files": token_files.op5_token_files,
         "op6_source_mixing": mixing.op6_source_mixing,
+        "op7_top_k_search": top_k_search.op7_top_k_search,
         "op9_token_counts": token_count.op9_token_counts,
     }
 
@@ -24,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filters": url_filter.OP1_SQL,
         "op6_source_mixing": mixing.OP6_SQL,
+        "op7_top_k_search": top_k_search.OP7_SQL,
     }
