@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrivia.llm import mixing, piece_bpe, token_count, token_files, top_k_search, url_filter
+from scrivia.llm import langid, mixing, piece_bpe, quality, token_count, token_files, top_k_search, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,7 +18,9 @@ def queries() -> dict[str, Query]:
         "op5_token_files": token_files.op5_token_files,
         "op6_source_mixing": mixing.op6_source_mixing,
         "op7_top_k_search": top_k_search.op7_top_k_search,
+        "op8_quality_rules": quality.op8_quality_rules,
         "op9_token_counts": token_count.op9_token_counts,
+        "op10_language_id": langid.op10_language_id,
     }
 
 
@@ -27,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_url_filters": url_filter.OP1_SQL,
         "op6_source_mixing": mixing.OP6_SQL,
         "op7_top_k_search": top_k_search.OP7_SQL,
+        "op8_quality_rules": quality.OP8_SQL,
     }
