@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import itertools
 from collections import Counter
-from collections.abc import Iterator
 
 import pyarrow as pa
 import sentencepiece
@@ -19,8 +18,8 @@ from pyspark.sql import functions as F
 from scrivia.llm.common import table
 from scrivia.llm.pretokens import PIECE_MODEL, piece_segments, splits_at_spaces
 
-#: Documents that the frequent table is made from, and its entries.
-SAMPLE_DOCUMENTS = 2000
+#: Documents that the frequent table is made from, their characters at most, and the table's entries.
+SAMPLE_DOCUMENTS, SAMPLE_CHARACTERS = 1000, 20_000
 FREQUENT = 50_000
 #: Pre-tokens that a worker keeps besides; a longer one is not kept.
 CACHED = 300_000
@@ -67,20 +66,15 @@ def unpack(table: bytes) -> tuple[list[str], bytes]:
     return (words.decode().split("\0") if lengths else []), lengths
 
 
-def _frequent_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            seen.update(piece_segments(text or ""))
-    kept = [w for w, n in seen.most_common(FREQUENT) if n > 1 and len(w) <= LONGEST_KEPT and "\0" not in w]
-    yield pa.RecordBatch.from_pydict({"segment": pa.array(kept, pa.string())})
-
-
 def frequent_table(docs: DataFrame, text_col: str, model: str = PIECE_MODEL) -> bytes:
-    """The packed lengths of the most frequent pre-tokens of SAMPLE_DOCUMENTS documents, at most FREQUENT."""
-    sample = docs.where(F.length(text_col) <= 20_000).select(text_col).limit(SAMPLE_DOCUMENTS)
-    words = [r.segment for r in sample.coalesce(1).mapInArrow(_frequent_segments, "segment string").collect()]
+    """The packed lengths of at most FREQUENT pre-tokens that are frequent in SAMPLE_DOCUMENTS documents.
+
+    The sample is bounded in rows and characters and taken from the first partitions that hold enough of it.
+    """
+    sample = docs.where(F.length(text_col) <= SAMPLE_CHARACTERS).select(text_col).limit(SAMPLE_DOCUMENTS).collect()
+    seen = Counter(s for row in sample for s in piece_segments(row[0]))
     lengths = Lengths(model, b"\0")
+    words = [w for w, n in seen.most_common(FREQUENT) if n > 1 and len(w) <= LONGEST_KEPT and "\0" not in w]
     pairs = [(w, n) for w in words if 0 < (n := lengths[w]) < 256]
     return pack([w for w, _ in pairs], [n for _, n in pairs])
 
