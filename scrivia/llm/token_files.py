@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import itertools
 import os
-import re
 import zlib
 from functools import lru_cache
 
@@ -22,6 +21,8 @@ from scrivia.llm.common import stash_path, table
 from scrivia.llm.pretokens import WORD_MODEL
 
 END_ID = 1
+#: A special token of the tokenizer.
+PART = "<|startoftext|>"
 #: Words that a worker keeps; longer ones are not kept.
 CACHED = 400_000
 LONGEST_KEPT = 64
@@ -38,19 +39,17 @@ FILE_SCHEMA = "doc_id long, position long, n_tokens int, ids array<int>"
 #: `position` holds the file's number above these bits and the row's number below.
 POSITION_BITS = 33
 
-_PUNCTUATED = re.compile(r"([^\W\d_])([.,])(?=[ \n]|$)")
-
 
 def words_of(text: str) -> list[str]:
     """Pieces that the tokenizer treats one by one: it drops white space and never looks across it.
 
-    It lower-cases and parts letters from punctuation as well, so for Latin-1 texts without its special strings that
-    is done here already, which leaves fewer different words.
+    It lower-cases as well, so for Latin-1 texts without its special strings that is done here already, which leaves
+    fewer different words.
     """
     if "<|" not in text:
         try:
             text.encode("latin-1")
-            text = _PUNCTUATED.sub(r"\1 \2", text.lower())
+            text = text.lower()
         except UnicodeEncodeError:
             pass
     return text.replace("\n", " ").split(" ")
@@ -67,6 +66,7 @@ class WordIds(dict):
         self.model = Tokenizer.from_file(model)
         self.model.no_truncation()
         self.model.no_padding()
+        self.part = self.model.token_to_id(PART)
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """Encode new words; those that are too long to keep are returned."""
@@ -74,11 +74,30 @@ class WordIds(dict):
             for key in list(itertools.islice(reversed(self), CACHED // 2)):
                 if key not in words:
                     del self[key]
-        passing: dict[str, bytes] = {}
         new = [w for w in words if w not in self]
-        for word, found in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False)):
-            (self if len(word) <= LONGEST_KEPT else passing)[word] = np.array(found.ids, "<i4").tobytes()
-        return passing
+        # the tokenizer parts a letter from the sign behind it (beyond Latin-1 its normal form may end in a mark)
+        signed = [w for w in new if w[-1] in ".,;:!?" and w[-2:-1].isalpha() and w[-2] < "\u0100"]
+        plain = {w for w in itertools.chain(set(new).difference(signed), (w[:-1] for w in signed), ".,;:!?") if w not in self}
+        found = self.encoded(list(plain))
+        of = lambda w: found[w] if w in found else self[w]
+        found.update({w: of(w[:-1]) + of(w[-1]) for w in signed})
+        self.update((w, b) for w, b in found.items() if len(w) <= LONGEST_KEPT)
+        return {w: b for w, b in found.items() if len(w) > LONGEST_KEPT}
+
+    def encoded(self, words: list[str]) -> dict[str, bytes]:
+        """Many words in one call, parted by a special token, which the tokenizer finds before anything else."""
+        out: dict[str, bytes] = {}
+        apart = [w for w in words if "<|" in w or len(w) > LONGEST_KEPT]
+        if apart:
+            out.update((w, np.array(e.ids, "<i4").tobytes()) for w, e in zip(apart, self.model.encode_batch_fast(apart, add_special_tokens=False)))
+            words = [w for w in words if w not in out]
+        for at in range(0, len(words), 1000):
+            some = words[at : at + 1000]
+            ids = np.array(self.model.encode_batch_fast([PART.join(some)], add_special_tokens=False)[0].ids, "<i4")
+            cuts = np.flatnonzero(ids == self.part)
+            data, starts, ends = ids.tobytes(), (4 * cuts + 4).tolist(), (4 * cuts).tolist()
+            out.update(zip(some, [data[a:b] for a, b in zip([0, *starts], [*ends, len(data)])]))
+        return out
 
     def encode(self, texts: pa.Array) -> pa.ListArray:
         """Ids of whole texts as list<int32>, the end id last; a null text is empty."""
