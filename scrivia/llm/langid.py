@@ -105,10 +105,11 @@ class Mixture:
 
     def documents(self, texts: list[str | None]) -> list[tuple[str, float]]:
         found = [_WORD.findall(t.lower()) if t else [] for t in texts]
-        new = list(set().union(*found) - self.rows.keys()) if found else []
+        words = set().union(*found)
+        new = [w for w in words if w not in self.rows]
         if len(self.rows) + len(new) > CACHED:
             self.rows, self.likelihood = {}, self.likelihood[:0]
-            new = list(set().union(*found))
+            new = list(words)
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
             self.rows.update(zip(some, range(len(self.rows), len(self.rows) + len(some))))
