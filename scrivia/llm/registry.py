@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrivia.llm import langid, mixing, piece_bpe, quality, token_count, token_files, top_k_search, toxicity, url_filter
+from scrivia.llm import jaccard_join, langid, mixing, piece_bpe, quality, token_count, token_files, top_k_search, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op1_url_filters": url_filter.op1_url_filters,
         "op2_sentencepiece": piece_bpe.op2_sentencepiece,
         "op3_toxicity": toxicity.op3_toxicity,
+        "op4_jaccard_join": jaccard_join.op4_jaccard_join,
         "op5_token_files": token_files.op5_token_files,
         "op6_source_mixing": mixing.op6_source_mixing,
         "op7_top_k_search": top_k_search.op7_top_k_search,
