@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scrivia.plans import q_registry, q_text
+
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = (q_text, q_registry)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +17,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for m in MODULES for name, (query, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql is not None}
