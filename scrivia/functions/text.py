@@ -234,8 +234,12 @@ def clamp_score(score: Column) -> Column:
 
 
 def l2_normalize(vector: Column) -> Column:
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(vector, lambda x: x / norm)).otherwise(vector)
+    """Unit length; a zero vector stays. The norm is carried through the fold, as a lambda would compute it anew for
+    every component."""
+    with_norm = F.struct(vector.alias("v"), F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x)).alias("n"))
+    return F.element_at(
+        F.transform(F.array(with_norm), lambda s: F.when(s["n"] > 0, F.transform(s["v"], lambda x: x / s["n"])).otherwise(s["v"])), 1
+    )
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrivia.plans import q_registry, q_text
+from scrivia.plans import q_registry, q_retrieval, q_text
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (q_text, q_registry)
+MODULES = (q_text, q_registry, q_retrieval)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return q_retrieval.evaluated(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
