@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrivia.plans import q_registry, q_retrieval, q_text
+from scrivia.plans import q_chunks, q_registry, q_retrieval, q_text
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (q_text, q_registry, q_retrieval)
+MODULES = (q_text, q_registry, q_retrieval, q_chunks)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
