@@ -125,7 +125,7 @@ def stream_entities(spark, sf):
 
 def stream_jobs(spark, sf):
     e = _stream(spark, sf, "events").select(F.col("user_id").alias("job_id"), "event_id", F.col("event_type").alias("stage"), F.col("value").alias("progress"))
-    rows = _run(streams.job_states(e), "ss03_jobs", "update")
+    rows = _run(streams.job_states(e, None), "ss03_jobs", "update")
     return rows.where("status = 'running'").select("job_id", "stage", "progress")
 
 

@@ -52,8 +52,9 @@ def entity_counts(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.explode(T.proper_phrases(F.col("text"))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n"))
 
 
-def job_states(events: DataFrame, idle_ms: int = 60_000) -> DataFrame:
-    """The latest stage and progress of every job as it changes; a job that is idle for too long has failed."""
+def job_states(events: DataFrame, idle_ms: int | None = 60_000) -> DataFrame:
+    """The latest stage and progress of every job as it changes; a job that is idle for too long has failed (None: a
+    job may be idle for ever)."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -66,11 +67,13 @@ def job_states(events: DataFrame, idle_ms: int = 60_000) -> DataFrame:
             for row in batch.itertuples():
                 best = max(best, (row.event_id, row.stage, row.progress))
         state.update(best)
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"job_id": [key[0]], "stage": [best[1]], "progress": [best[2]], "status": ["running"]})
 
     return events.groupBy("job_id").applyInPandasWithState(
-        step, "job_id long, stage string, progress double, status string", "event_id long, stage string, progress double", "update", GroupStateTimeout.ProcessingTimeTimeout
+        step, "job_id long, stage string, progress double, status string", "event_id long, stage string, progress double", "update",
+        GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 
