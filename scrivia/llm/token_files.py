@@ -24,7 +24,7 @@ END_ID = 1
 #: A special token of the tokenizer.
 PART = "<|startoftext|>"
 #: Words that a worker keeps; longer ones are not kept.
-CACHED = 400_000
+CACHED = 800_000
 LONGEST_KEPT = 64
 #: Texts whose new words are encoded together.
 TOGETHER = 256
