@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scrivia.llm.common import WORD, stash, table
+from scrivia.llm.common import WORD, input_partitions, stash, table
 
 BLOCK_WORDS = 128
 SHARD_BLOCKS = 2048
@@ -23,6 +23,8 @@ MAX_SHARDS = 10_000
 MAX_EPOCHS = 3
 #: Documents that one task places in a row within a source, about.
 PLACE_TOGETHER = 4096
+#: Slots that one task makes, about.
+SLOTS_TOGETHER = 1_000_000
 #: Up to so many sources, their table is broadcast.
 MAX_BROADCAST_SOURCES = 50_000
 #: Multipliers of the permutations: primes, of which a source uses one that does not divide its number of blocks.
@@ -160,8 +162,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ranges = counts.withColumn("_first", F.coalesce(F.sum("_count").over(before), F.lit(0)).cast("long")).withColumn(
         "_end", F.least(F.col("_first") + F.col("_count"), F.col("n_blocks") * MAX_EPOCHS)
     )
+    # a few rows become many here: they are dealt out first, by a number that is not put together again
     slots = (
         ranges.where("_end > _first")
+        .repartition(max(input_partitions(spark), n_mixed // SLOTS_TOGETHER), "shard", "source_no")
         .select("shard", "source_no", "n_blocks", F.explode(F.sequence(F.col("_first"), F.col("_end") - 1)).alias("slot"))
         .withColumn("_epoch", F.floor(F.col("slot") / F.col("n_blocks")))
         .withColumn("block", _permuted(F.col("slot") % F.col("n_blocks"), F.col("n_blocks"), F.col("source_no"), F.col("_epoch")))
@@ -187,7 +191,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .withColumn("_to", F.least((F.col("block") + 1) * BLOCK_WORDS, end) - F.col("_offset"))
     )
     times = slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
-    taken = pieces.join(times, ["source_no", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    # their size is known too late to trust an automatic broadcast
+    taken = pieces.join(times.hint("merge"), ["source_no", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
     documents = (
         taken.groupBy("source_no", "_range", "_nth")
         .agg(
