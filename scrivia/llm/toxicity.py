@@ -151,8 +151,15 @@ class Restorer:
         return out
 
     def spaced(self, text: str) -> list[str]:
-        """Words that are written letter by letter."""
-        return [self.viterbi(m[0].lower()) for m in _SPACED.finditer(text)]
+        """Words that are written letter by letter. A lone letter or sign that stands by such a word looks like a part
+        of it, so the word is also read without its first, its last, and both."""
+        out: list[str] = []
+        for found in _SPACED.finditer(text):
+            letters = found[0].lower().split()
+            for a, b in ((0, 0), (1, 0), (0, 1), (1, 1)):
+                if len(letters) - a - b >= 3:
+                    out.append(self.viterbi(" ".join(letters[a : len(letters) - b])))
+        return out
 
 
 def _keep(states: dict, key: tuple, score: float, text: str) -> None:
