@@ -164,7 +164,8 @@ def best_values(summary: DataFrame, metrics: dict[str, bool]) -> DataFrame:
 
 def report_lines(summary: DataFrame) -> DataFrame:
     """A markdown table row for each config."""
-    pct = lambda c: F.coalesce(F.format_string("%.0f%%", F.col(c) * 100), F.lit("–"))
-    two = lambda c: F.coalesce(F.format_string("%.2f", F.col(c)), F.lit("–"))
+    shown = lambda c, text: F.when(F.col(c).isNotNull(), text).otherwise("–")
+    pct = lambda c: shown(c, F.format_string("%.0f%%", F.col(c) * 100))
+    two = lambda c: shown(c, F.format_string("%.2f", F.col(c)))
     cells = [F.col("config"), pct("hit"), two("rr"), two("faithfulness"), two("relevance"), two("correctness"), F.format_string("%.4f", "cost_usd")]
     return summary.select("config", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))

@@ -8,6 +8,7 @@ from scrivia.functions import text as T
 from scrivia.operators import chunking as C
 from scrivia.operators import cost
 from scrivia.plans.fixtures import SQL_CHUNKS, SQL_QUERIES_LOG, chunks, shared_path, table, usage_events
+from scrivia.plans.q_registry import SQL_COSTED
 from scrivia.sources import corpus
 from scrivia.streaming import streams
 
@@ -179,7 +180,11 @@ QUERIES = {
         f"WITH {SQL_QUERIES_LOG} SELECT CAST(created_at AS DATE) AS day, count(*) AS queries, round(sum(cost_usd), 4) AS cost_usd, round(avg(latency_ms), 3) AS avg_latency_ms FROM queries GROUP BY 1",
     ),
     "ss03_stream_jobs": (stream_jobs, "SELECT user_id AS job_id, arg_max(event_type, event_id) AS stage, arg_max(value, event_id) AS progress FROM events GROUP BY 1"),
-    "ss04_stream_budget": (stream_budget, None),
+    "ss04_stream_budget": (
+        stream_budget,
+        f"""WITH {SQL_COSTED}, s AS (SELECT *, coalesce(sum(cost_usd) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM costed)
+        SELECT user_id AS key, event_id, b + cost_usd > 0.02 AS over FROM s WHERE b <= 0.02""",
+    ),
     "ss05_stream_sessions": (
         stream_sessions,
         """WITH l AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events) SELECT user_id, count(*) FILTER (p IS NULL OR ts > p + INTERVAL 6 HOUR) AS n_sessions, count(*) AS n_events FROM l GROUP BY 1""",

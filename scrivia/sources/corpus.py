@@ -30,7 +30,7 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
 
 def text_documents(spark: SparkSession, path: str) -> DataFrame:
     """document_id, title, page, text of whole text files, cut into sections."""
-    files = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_name").alias("document_id"), T.tidy(F.col("value")).alias("text"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("document_id"), T.tidy(F.col("value")).alias("text"))
     stem = F.regexp_replace("document_id", r"\.[^.]*$", "")
     return sections(files.withColumn("title", F.coalesce(T.first_heading(F.col("text")), stem)))
 
@@ -64,6 +64,11 @@ class _Page(HTMLParser):
             self.blocks.append(HEADINGS.get(self.open, "- " if self.open == "li" else "") + words)
         self.open, self.buffer = None, []
 
+    def _end_cell(self):
+        if self.cell is not None:
+            self.rows[-1].append(" ".join("".join(self.cell).split()))
+        self.cell = None
+
     def handle_starttag(self, tag, attrs):
         if tag in DROPPED:
             self.skip.append(tag)
@@ -77,8 +82,10 @@ class _Page(HTMLParser):
             self._end_block()
             self.rows = []
         elif self.rows is not None and tag == "tr":
+            self._end_cell()
             self.rows.append([])
         elif self.rows and tag in ("td", "th"):
+            self._end_cell()
             self.cell = []
         elif self.rows is None and tag in BLOCKS:
             self._end_block()
@@ -92,11 +99,11 @@ class _Page(HTMLParser):
         elif tag == "title":
             self.in_title = False
         elif tag == "table" and self.rows is not None:
+            self._end_cell()
             self.tables.append(self.rows)
             self.rows = self.cell = None
-        elif tag in ("td", "th") and self.cell is not None:
-            self.rows[-1].append(" ".join("".join(self.cell).split()))
-            self.cell = None
+        elif tag in ("td", "th", "tr"):
+            self._end_cell()
         elif tag in BLOCKS and self.open:
             self._end_block()
 
