@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from scrivia.functions import text as T
 from scrivia.operators import chunking as C
 from scrivia.operators import cost
-from scrivia.plans.fixtures import SQL_CHUNKS, SQL_QUERIES_LOG, chunks, shared_path, table, usage_events
+from scrivia.operators.lineage import shared_path
+from scrivia.plans.fixtures import SQL_CHUNKS, SQL_QUERIES_LOG, chunks, table, usage_events
 from scrivia.plans.q_registry import SQL_COSTED
 from scrivia.sources import corpus
 from scrivia.streaming import streams

@@ -324,8 +324,8 @@ QUERIES = {
         answers,
         f"""WITH {_BM25}, {_ranked(6)}, {_CONTEXTS}, k AS (SELECT question_id, n, list_distinct({_KEYS}) AS qs, {sql_sentences('text')} AS ss FROM ctx),
         e AS (SELECT question_id, n, qs, i, ss[i] AS s FROM k, LATERAL (SELECT unnest(range(1, len(ss) + 1)) AS i) t),
-        c AS (SELECT question_id, n, i, qs, trim(regexp_replace(s, '^[-* ]+', '')) AS p FROM e WHERE s NOT LIKE '|%' AND s NOT LIKE '#%'),
-        o AS (SELECT *, len(list_intersect(qs, {sql_tokens('p')})) AS o FROM c WHERE length(p) >= 25),
+        said AS (SELECT question_id, n, i, qs, trim(regexp_replace(s, '^[-* ]+', '')) AS p FROM e WHERE s NOT LIKE '|%' AND s NOT LIKE '#%'),
+        o AS (SELECT *, len(list_intersect(qs, {sql_tokens('p')})) AS o FROM said WHERE length(p) >= 25),
         z AS (SELECT *, round(o - (n - 1) * 0.1::DOUBLE, 4) AS score, substr(p, 1, 80) AS key FROM o WHERE o > 0),
         u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id, key ORDER BY score DESC, n, i) AS r FROM z) WHERE r = 1),
         b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, n, i, key) AS r4 FROM u) WHERE r4 <= 4),
