@@ -45,6 +45,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"({WORD})")).cast("long"), F.lit(0).cast("long"))
 
 
+def text_key(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def _uniform(*parts: Column) -> Column:
     """In [0, 1), from the checksum of the parts."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 13), 16, 10).cast("double") / float(2**52)
@@ -70,8 +74,9 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     ).drop("_level")
 
 
-def _placed(docs: DataFrame, id_col: str, source_col: str, size_col: str) -> DataFrame:
-    """Each document's first word's number within its source, in the order of the checksums of the ids.
+def _placed(docs: DataFrame, id_col: str, source_col: str, size_col: str, then: list[str]) -> DataFrame:
+    """Each document's first word's number within its source, in the order of the checksums of the ids, and of `then`
+    where ids and sizes are equal.
 
     A running sum over a whole source would put it into one task; so sums run within ranges of the checksum, and
     ranges start where those before end.
@@ -90,7 +95,7 @@ def _placed(docs: DataFrame, id_col: str, source_col: str, size_col: str) -> Dat
             F.lit(0),
         ),
     )
-    within = Window.partitionBy(source_col, "_range").orderBy("_key", id_col, size_col)
+    within = Window.partitionBy(source_col, "_range").orderBy("_key", id_col, size_col, *then)
     placed = keyed.withColumns(
         {
             "_ahead": F.coalesce(F.sum(size_col).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
@@ -104,17 +109,22 @@ def _placed(docs: DataFrame, id_col: str, source_col: str, size_col: str) -> Dat
     return met.select("d.*", (F.col("s._start") + F.col("d._ahead")).alias("_offset"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Mix:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", by_text: bool = False) -> Mix:
     """Mix `docs` by the weights 1, 2, 3 (repeating) of their sources in code point order.
 
     A null text or one without words has size 0 and nothing is taken of it; a null source is a source of its own,
     ordered last; repeated rows count one by one, each with its own place; an empty table gives an empty mix.
-    Columns of `docs` beyond the three named are not read. The same rows give the same mix, in any order.
+    Columns of `docs` beyond the three named are not read. The same rows give the same mix, in any order. With `by_text`
+    pieces also tell the checksum of the document's text (text_key), and documents of one id and size are in its order.
     """
     spark = docs.sparkSession
+    then = ["text_key"] if by_text else []
     sized = stash(
         docs.select(
-            F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
+            F.col(id_col).alias("doc_id"),
+            F.col(source_col).alias("source"),
+            word_count(F.col(text_col)).alias("size"),
+            *[text_key(F.col(text_col)).alias(c) for c in then],
         ),
         "mix-sizes",
     )
@@ -175,7 +185,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = sources.select(F.col("source").alias("_source"), "source_no", "source_size", "target")
     if totals["n"] <= MAX_BROADCAST_SOURCES:
         known = F.broadcast(known)
-    placed = _placed(sized, "doc_id", "source", "size").join(known, F.col("source").eqNullSafe(F.col("_source")))
+    placed = _placed(sized, "doc_id", "source", "size", then).join(known, F.col("source").eqNullSafe(F.col("_source")))
     end = F.col("_offset") + F.col("size")
     pieces = (
         placed.select(
@@ -216,30 +226,42 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents: a document comes once for each epoch that takes of it, with the words of the blocks
     taken in that epoch (its whole text, unchanged, if all were). Returns the columns of `docs`.
 
-    Documents of which nothing is taken go. A null or empty text has no words and goes as well.
+    Documents of which nothing is taken go. A null or empty text has no words and goes as well. An id may be null, and
+    may stand on several texts: a row is known by id, source, checksum of the text, and its number among equal ones.
     """
-    mix = mix_sources(docs)
+    mix = mix_sources(docs, by_text=True)
     per_copy = (
         mix.pieces.where("times > 0")
-        .select("doc_id", "size", "_range", "_nth", "source_no", "_from", "_to", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_copy"))
+        .select("doc_id", "source", "text_key", "size", "_range", "_nth", "source_no", "_from", "_to", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_copy"))
         .groupBy("source_no", "_range", "_nth", "_copy")
         .agg(
             F.any_value("doc_id").alias("_id"),
+            F.any_value("source").alias("_source"),
+            F.any_value("text_key").alias("_text_key"),
             F.any_value("size").alias("_size"),
             F.sort_array(F.collect_list(F.struct("_from", "_to"))).alias("_parts"),
         )
     )
-    # copies of one id (repeated rows) are told apart by their order
-    nth = Window.partitionBy("doc_id").orderBy(F.md5(F.coalesce("text", F.lit("")).cast("binary")), "source")
-    numbered = docs.withColumn("_n", F.row_number().over(nth))
-    same = Window.partitionBy("_id", "_copy").orderBy("source_no", "_range", "_nth")
-    copies = per_copy.withColumn("_n", F.row_number().over(same))
+    # equal rows stand one after another in their source
+    copies = per_copy.withColumn("_n", F.col("_nth") - F.min("_nth").over(Window.partitionBy("source_no", "_id", "_text_key")) + 1)
+    # only rows that repeat are sorted for their number; the others' texts move once, to meet their copies
+    row = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (text_key(F.col("text")) == F.col("_text_key"))
+    repeated = stash(
+        docs.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), text_key(F.col("text")).alias("_text_key"))
+        .agg(F.count("*").alias("_times")).where("_times > 1").drop("_times"),
+        "mix-repeated",
+    )
+    nth = Window.partitionBy("doc_id", "source", text_key(F.col("text"))).orderBy(F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).cast("binary")))
+    numbered = docs.join(repeated, row, "left_anti").withColumn("_number", F.lit(1)).unionByName(
+        docs.join(repeated, row, "left_semi").withColumn("_number", F.row_number().over(nth))
+    )
     whole = F.aggregate("_parts", F.lit(0).cast("long"), lambda n, p: n + p["_to"] - p["_from"]) == F.col("_size")
     spaced = F.regexp_extract_all(F.col("text"), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
     cut = F.array_join(
         F.transform("_parts", lambda p: F.array_join(F.slice(F.col("_words"), (p["_from"] + 1).cast("int"), (p["_to"] - p["_from"]).cast("int")), "")), ""
     )
-    joined = numbered.join(copies, (F.col("doc_id") == F.col("_id")) & (numbered["_n"] == copies["_n"])).withColumn("_whole", whole)
+    met = row & (F.col("_number") == F.col("_n"))
+    joined = numbered.join(copies.select("_id", "_source", "_text_key", "_n", "_size", "_parts"), met).withColumn("_whole", whole)
     out = joined.withColumn("_words", F.when(~F.col("_whole"), spaced)).withColumn(
         "text", F.when(F.col("_whole"), F.col("text")).otherwise(cut)
     )
