@@ -2,7 +2,8 @@
 
 Written characters may stand for others (1 for i or l, $ for s), letters may be spaced out or parted by signs, and
 repeated. A unit of text whose characters allow more than one reading becomes a lattice; the Viterbi path under a
-character trigram model, gathered from the whole corpus, restores it. Restored words and their beginnings are the
+character trigram model, gathered from the whole corpus, restores it. Letters that are spaced out may be several words,
+and a doubled letter may be one: the lattice chooses, and the lexicon may know the undoubled word as well. Restored words and their beginnings are the
 features of a logistic regression that is learned from labels.
 """
 
@@ -31,6 +32,12 @@ READINGS = {
 #: Signs that part letters.
 SEPARATORS = "._-*~/\\'`^:,"
 COST_READ, COST_SKIP, COST_REPEAT = 1.0, 0.5, 0.3
+#: Spaced letters are not parted where a gap is wider than others of their run.
+COST_WIDE = 1.0
+#: Doubled letters of a word that may each be one letter: of more, all or none.
+MAX_DOUBLED = 4
+#: Letters of a word of the lexicon that is looked for inside a run of spaced letters.
+SPANS = (5, 16)
 
 #: The trigram model's alphabet: 0 is an edge or sign, 1-26 a letter, 27 a letter beyond a-z.
 LETTERS, OTHER = 28, 27
@@ -47,8 +54,12 @@ RIDGE = 1.0
 CACHED, LONGEST_KEPT = 400_000, 48
 
 _LETTER_RUN = re.compile(r"[^\W\d_]+")
-_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S(?!\S)){2,}")
-_REPEATED = re.compile(r"(.)\1\1")
+#: Characters that stand alone but for signs beside them, with any blanks between.
+_SIGN = r"""[._\-*~/\\'`^:,;?!"()\[\]{}]"""
+_SPACED = re.compile(rf"(?<!\S){_SIGN}{{0,3}}\S{_SIGN}{{0,3}}(?:\s+{_SIGN}{{0,3}}\S{_SIGN}{{0,3}}(?!\S)){{2,}}")
+_GAP = re.compile(r"\s+")
+_REPEATED = re.compile(r"(.)\1")
+_DOUBLED = re.compile(r"([^\W\d_])\1+")
 _EDGE = re.compile(r"^[^\w@$!|+(€£¡]+|[^\w@$|+€£]+$|(\W)\1+$|^(\W)\1+")
 _SIGNS = re.compile("[" + re.escape("".join(READINGS)) + "]")
 _PARTED = re.compile("[" + re.escape(SEPARATORS) + "]+")
@@ -108,13 +119,20 @@ class Restorer:
     def __init__(self, trigrams: bytes):
         self.logs = np.frombuffer(trigrams, np.float32).reshape(LETTERS, LETTERS, LETTERS).tolist()
 
-    def viterbi(self, unit: str) -> str:
+    def viterbi(self, unit: str, gaps: dict[int, bool] | None = None) -> str:
         """The likeliest letters of a unit. A state is the last two classes and what they read; every sign is read
-        as one of its letters, or skipped if it parts letters; a character like the one before it may be a repeat."""
-        states: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
+        as one of its letters, or skipped if it parts letters; a character like the one before it may be a repeat.
+        `gaps` are places where a new word may start, and whether they are wider than others."""
+        states: dict[tuple[int, int, str], tuple[float, tuple]] = {(0, 0, ""): (0.0, ())}
         before = ""
-        for c in unit:
-            new: dict[tuple[int, int, str], tuple[float, str]] = {}
+        for i, c in enumerate(unit):
+            if gaps and i in gaps:
+                parted = {k: (score - (COST_WIDE if gaps[i] else 0.0), text) for k, (score, text) in states.items()}
+                for (a, b, last), (score, text) in states.items():
+                    if last:
+                        _keep(parted, (b, 0, ""), score + self.logs[a][b][0], (text, " "))
+                states = parted
+            new: dict[tuple[int, int, str], tuple[float, tuple]] = {}
             options = [(r, COST_READ) for r in READINGS[c]] if c in READINGS else [(c, 0.0)] if c.isalpha() else []
             skips = COST_SKIP if c in SEPARATORS or c.isspace() or not (options or c.isalpha()) else COST_REPEAT if c == before else None
             for (a, b, last), (score, text) in states.items():
@@ -122,19 +140,30 @@ class Restorer:
                     _keep(new, (a, b, last), score - skips, text)
                 for letter, cost in options:
                     k = _char_class(letter)
-                    _keep(new, (b, k, letter), score - cost + self.logs[a][b][k], text + letter)
+                    _keep(new, (b, k, letter), score - cost + self.logs[a][b][k], (text, letter))
             states, before = new, c
-        return max(states.values(), key=lambda s: s[0] + 0.0)[1] if states else ""
+        if not states:
+            return ""
+        text = max(states.values(), key=lambda s: s[0] + 0.0)[1]
+        letters = []
+        while text:
+            text, letter = text
+            letters.append(letter)
+        return "".join(reversed(letters))
+
+    def word(self, word: str) -> list[str]:
+        """A word of letters alone, and how it reads if letters are repeats."""
+        return [word, self.viterbi(word)] if _REPEATED.search(word) else [word]
 
     def readings(self, chunk: str) -> list[str]:
         """The words of a chunk without white space, restored where its characters allow more than one reading."""
         core = chunk.lower().lstrip("\"'([{").rstrip(".,;:?\"')]}")
-        if core.isalpha() and not _REPEATED.search(core):
-            return [core]
+        if core.isalpha():
+            return self.word(core)
         while (cut := _EDGE.sub("", core)) != core:
             core = cut
-        if core.isalpha() and not _REPEATED.search(core):
-            return [core]
+        if core.isalpha():
+            return self.word(core)
         pieces = [p for p in _PARTED.split(core) if p]
         if len(pieces) > 1 and all(len(p) <= 2 for p in pieces):
             pieces = ["".join(pieces)]
@@ -146,22 +175,61 @@ class Restorer:
                 out.append(self.viterbi(piece))
                 if any(s in piece for s in "!|+(") and (bare := piece.strip("!|+(")) and not bare.isalpha():
                     out.append(self.viterbi(bare))
-        if len(pieces) > 1 and len(core) <= LONGEST_KEPT:
+        if len(pieces) > 1:
             out.append(self.viterbi(core))  # the parts may be one word after all
         return out
 
-    def spaced(self, text: str) -> list[str]:
-        """Words that are written letter by letter. A lone letter or sign that stands by such a word looks like a part
-        of it, so the word is also read without its first, its last, and both."""
+    def spaced(self, text: str, among: dict[int, float] | None = None) -> list[str]:
+        """Words that are written letter by letter, as the lattice parts them; a run is also read as one word, which may
+        have a lone letter or sign beside it, so without its first, its last, and both. Words in `among`, a lexicon, are
+        found anywhere in a run."""
         out: list[str] = []
         for found in _SPACED.finditer(text):
-            letters = found[0].lower().split()
+            run = found[0].lower()
+            letters = [bare for c in run.split() for bare in [c.strip(SEPARATORS + ";?\"()[]{}") or c[:1]]]
+            gaps = [len(g) > 1 or g not in " \t" for g in _GAP.findall(run)]
+            wide = any(gaps) and not all(gaps)
+            places: dict[int, bool] = {}
+            at = 0
+            for c, gap in zip(letters, gaps):
+                at += len(c)
+                places[at] = wide and gap
+            out += self.viterbi("".join(letters), places).split()
             for a, b in ((0, 0), (1, 0), (0, 1), (1, 1)):
                 if len(letters) - a - b >= 3:
                     out.append(self.viterbi(" ".join(letters[a : len(letters) - b])))
+            if among:
+                out += self.spans(letters, among)
+        return out
+
+    def spans(self, letters: list[str], among: dict[int, float]) -> list[str]:
+        out: list[str] = []
+        for i in range(len(letters)):
+            for j in range(i + SPANS[0], min(len(letters), i + SPANS[1]) + 1):
+                own = "".join(letters[i:j])
+                if 2 * sum(map(str.isalpha, own)) > len(own):
+                    word = own if own.isalpha() else self.viterbi(own)
+                    # the word and how it begins, as one number alone may be there by chance
+                    out += [w for w in (word, *undoubled(word)) if len(w) >= SPANS[0] and all(f in among for f in word_features(w)[:2])]
         return out
 
 
+def undoubled(word: str) -> list[str]:
+    """The word with each of its doubled letters as one or two, but not as it is."""
+    runs = [(m.start(), m.end()) for m in _DOUBLED.finditer(word)]
+    if not runs:
+        return []
+    times = itertools.product((1, 2), repeat=len(runs)) if len(runs) <= MAX_DOUBLED else [(n,) * len(runs) for n in (1, 2)]
+    out = []
+    for chosen in times:
+        parts, at = [], 0
+        for (start, end), n in zip(runs, chosen):
+            parts += [word[at:start], word[start] * n]
+            at = end
+        out.append("".join(parts) + word[at:])
+    return [w for w in out if w != word]
+
+
 def _keep(states: dict, key: tuple, score: float, text: str) -> None:
     if key not in states or states[key][0] < score:
         states[key] = (score, text)
@@ -184,6 +252,10 @@ class Features:
         self.among = among
         self.cache: dict[str, tuple[int, ...]] = {}
 
+    def known(self, words: list[str]) -> list[str]:
+        """The words, and with a lexicon also what they are undoubled, of which only features in it count."""
+        return words if self.among is None else words + [u for w in words if _REPEATED.search(w) for u in undoubled(w)]
+
     def of_words(self, words: list[str]) -> tuple[int, ...]:
         found = [f for w in words for f in word_features(w)]
         return tuple(found if self.among is None else [f for f in found if f in self.among])
@@ -195,12 +267,12 @@ class Features:
                 del self.cache[key]
         new = [c for c in chunks if c not in self.cache]
         for chunk in new:
-            self.cache[chunk] = self.of_words(self.restorer.readings(chunk))
+            self.cache[chunk] = self.of_words(self.known(self.restorer.readings(chunk)))
         found = set().union(*map(self.cache.__getitem__, chunks))
         for chunk in [c for c in new if len(c) > LONGEST_KEPT]:
             del self.cache[chunk]
-        if spaced := self.restorer.spaced(text):
-            found.update(self.of_words(spaced))
+        if spaced := self.restorer.spaced(text, self.among):
+            found.update(self.of_words(self.known(spaced)))
         return found
 
 
