@@ -92,10 +92,16 @@ def pipe_tables(spark, sf):
 
 
 def _run(stream, name, mode):
-    spark = stream.sparkSession
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", shared_path(spark, name)).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    """What the stream has written to the shared folder, a folder a batch; in complete mode a batch replaces the last."""
+    spark, columns = stream.sparkSession, stream.columns
+    out, checkpoint = shared_path(spark, name), shared_path(spark, f"{name}-progress")
+    spark.createDataFrame([], stream.schema).write.parquet(f"{out}/batch=-1")  # a stream may have no batch
+
+    def each(batch, number):
+        batch.write.mode("overwrite").parquet(f"{out}/batch={0 if mode == 'complete' else number}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out).select(*columns)
 
 
 def _stream(spark, sf, name):
