@@ -1,15 +1,24 @@
 """Jaccard join, toxicity, language identification, pipeline."""
 
+import re
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from scrivia.llm import jaccard_join, langid, toxicity
+from scrivia.llm import jaccard_join, langid, shingles, toxicity
 from scrivia.llm.components import connected_components
 
 
+def word_shingles(text):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = [w for w in re.split("[ \t\n\x0b\f\r]", lower) if w]
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
+
+
 def brute_components(rows):
-    sets = [set(jaccard_join.shingles(t).tolist()) for _, t in rows]
+    sets = [word_shingles(t) for _, t in rows]
     up = list(range(len(rows)))
 
     def root(i):
@@ -47,8 +56,10 @@ def near_copies(seed=5):
     return rows + [(i + 1000, t) for i, t in rows[:40]] + [(5, rows[200][1]), (None, rows[0][1]), (2000, None), (2001, ""), (2002, "A b"), (2003, "a B"), (2004, " \t")]
 
 
-def test_components_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BLOCK", 16)  # clusters of several blocks
+@pytest.mark.parametrize(("rounds", "known"), [(4, 400_000), (0, 400_000), (2, 10), (4, 0)])
+def test_components_equal_brute_force(spark, monkeypatch, rounds, known):
+    for name, value in [("SHORT_LIST", 3), ("CHUNK", 8), ("CELL_ROWS", 4), ("CELL_COLUMNS", 8), ("ROUNDS", rounds), ("FREQUENT_FROM", 6), ("MAX_FREQUENT", known)]:
+        monkeypatch.setattr(jaccard_join, name, value)
     rows = near_copies()
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("clash"))
     got = sorted((tuple(r) for r in jaccard_join.similar_documents(df).collect()), key=repr)
@@ -58,6 +69,25 @@ def test_components_equal_brute_force(spark, monkeypatch):
     assert jaccard_join.similar_documents(df.where("false")).count() == 0
 
 
+def test_shingles_tell_words_apart():
+    texts = [None, "", " \t", "A b", "a B", "a b c d e", "a b c d e\x85", "a\x0bb\x0cc\rd\ne", "é É 日本 a A z", "ab cd", "abc d", "x" * 3_000_000 + " a b c d e", "a b " * 9]
+    texts += [f"w{i} w{i + 1} w{i + 2} w{i + 3} w{i + 4} w{i % 7}" for i in range(500)]
+    sets = [s for at in (0, 5, 200) for s in shingles.shingle_sets(pa.array(texts[at : {0: 5, 5: 200, 200: None}[at]]))]
+    of_hash, of_words = {}, {}
+    for text, own in zip(texts, sets, strict=True):
+        words = word_shingles(text)
+        assert len(words) == len(own)
+        for w, h in zip([tuple(sorted(words))], [tuple(own.tolist())]):
+            assert of_hash.setdefault(h, w) == w and of_words.setdefault(w, h) == h
+
+
+def test_levels_follow_the_cost():
+    assert jaccard_join.choose_level(np.zeros(30, int), 6) == 1
+    assert jaccard_join.choose_level(np.array([0] * 5 + [40] * 12), 6) > 1
+    assert jaccard_join.choose_level(np.array([0] * 5 + [40] + [4000] * 9), 6) == 1
+    assert jaccard_join.choose_level(np.array([50]), 1) == 1
+
+
 def test_deduplicated_keeps_one_of_each(spark):
     rows = near_copies(6)
     df = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows if d is not None], "doc_id long, text string, lang string, source string, n_chars long")
