@@ -177,7 +177,7 @@ def approx_tokens(text: Column) -> Column:
 
 def slug(name: Column, default: str = "collection") -> Column:
     base = F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    base = F.regexp_replace(F.substring(base, 1, 40), "^-+|-+$", "")
+    base = F.substring(base, 1, 40)
     return F.when(base == "", default).otherwise(base)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,10 +73,11 @@ def startable(requested: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def find_collections(wanted: DataFrame, collections: DataFrame) -> DataFrame:
-    """name -> collection_id: by id, else by name whatever its case, else the oldest collection."""
-    by = lambda how, rank: collections.select(how.alias("_k"), "collection_id", "created_at", F.lit(rank).alias("_rank"))
-    keys = by(F.lower("collection_id"), 1).unionByName(by(F.lower("name"), 2))
-    met = wanted.join(keys, F.lower("wanted") == F.col("_k"), "left")
+    """wanted -> collection_id: by id as it is written, else by name whatever its case, else the oldest collection."""
+    by = lambda how, rank: collections.select(how.alias("_k"), F.lit(rank).alias("_rank"), "collection_id", "created_at")
+    keys = by(F.col("collection_id"), 1).unionByName(by(F.lower("name"), 2))
+    asked = wanted.select("wanted", F.inline(F.array(F.struct(F.col("wanted").alias("_k"), F.lit(1).alias("_rank")), F.struct(F.lower("wanted"), F.lit(2)))))
+    met = asked.join(keys, ["_k", "_rank"], "left").withColumn("_rank", F.when(F.col("collection_id").isNotNull(), F.col("_rank")))
     order = F.row_number().over(Window.partitionBy("wanted").orderBy(F.col("_rank").asc_nulls_last(), "created_at", "collection_id"))
     found = met.withColumn("_n", order).where("_n = 1")
     oldest = collections.orderBy("created_at", "collection_id").limit(1).select(F.col("collection_id").alias("_default"))
@@ -89,10 +91,34 @@ def bump_versions(collections: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def unique_slugs(names: DataFrame, name_col: str, order_col: str) -> DataFrame:
-    """slug of every name in the order of arrival: base, base-2, base-3."""
-    base = names.withColumn("_base", T.slug(F.col(name_col)))
-    n = F.row_number().over(Window.partitionBy("_base").orderBy(order_col))
-    return base.withColumn("_n", n).withColumn("slug", F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", F.col("_n").cast("string")))).drop("_base", "_n")
+    """slug of every name in the order of arrival: base, or the first of base-2, base-3, ... that no earlier name has.
+
+    Bases meet only where one of them ends in a number itself, so only names of such a stem are told apart one after
+    another, as a fold over the stem's names; all others are numbered by a window.
+    """
+    base = names.withColumn("_base", T.slug(F.col(name_col))).withColumn("_stem", F.regexp_replace("_base", r"(-\d+)+$", ""))
+    mixed = base.where("_base <> _stem").select("_stem").distinct()
+    nth = F.row_number().over(Window.partitionBy("_base").orderBy(order_col))
+    alone = base.join(mixed, "_stem", "left_anti").withColumn("_n", nth)
+    alone = alone.withColumn("slug", F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", F.col("_n").cast("string")))).drop("_n")
+
+    def number(rows: pd.DataFrame) -> pd.DataFrame:
+        taken: set[str] = set()
+        following: dict[str, int] = {}
+        slugs = []
+        rows = rows.sort_values(order_col, kind="stable")
+        for own in rows["_base"]:
+            slug, n = own, following.get(own, 2)
+            while slug in taken:
+                slug, n = f"{own}-{n}", n + 1
+            following[own] = n
+            taken.add(slug)
+            slugs.append(slug)
+        return rows.assign(slug=slugs)
+
+    met = base.join(mixed, "_stem", "left_semi").select(*base.columns)
+    folded = met.groupBy("_stem").applyInPandas(number, met.withColumn("slug", F.lit("")).schema)
+    return alone.select(*names.columns, "slug").unionByName(folded.select(*names.columns, "slug"))
 
 
 def current_state(events: DataFrame, key: str, fields: list[str], at: str = "ts") -> DataFrame:

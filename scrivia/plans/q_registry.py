@@ -78,7 +78,7 @@ def startable(spark, sf):
 
 def found_collections(spark, sf):
     r = registry(spark, sf).groupBy("collection_id").agg(F.min("doc_id").alias("created_at")).withColumn("name", F.concat(F.lit("Docs "), "collection_id"))
-    wanted = spark.createDataFrame([("EN",), ("docs fr",), ("nothing",)], "wanted string")
+    wanted = spark.createDataFrame([("en",), ("DOCS fr",), ("EN",), ("nothing",)], "wanted string")
     return R.find_collections(wanted, r)
 
 
@@ -251,7 +251,7 @@ QUERIES = {
     "reg02_one_job": (startable, f"WITH {SQL_REGISTRY} SELECT document_id FROM registry WHERE doc_id % 2 = 0 AND status NOT IN ('queued', 'processing')"),
     "reg03_find_collection": (
         found_collections,
-        """SELECT * FROM (VALUES ('EN', 'en'), ('docs fr', 'fr')) t(wanted, collection_id) UNION ALL SELECT 'nothing', (SELECT lang FROM documents GROUP BY lang ORDER BY min(doc_id), lang LIMIT 1)""",
+        """SELECT * FROM (VALUES ('en', 'en'), ('DOCS fr', 'fr')) t(wanted, collection_id) UNION ALL SELECT w, (SELECT lang FROM documents GROUP BY lang ORDER BY min(doc_id), lang LIMIT 1) FROM (VALUES ('EN'), ('nothing')) o(w)""",
     ),
     "reg04_versions": (versions, f"WITH {SQL_REGISTRY} SELECT collection_id, 3 + count(*) FILTER (status = 'ready') AS version FROM registry GROUP BY 1"),
     "wn09_unique_slugs": (

@@ -2,16 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scrivia.operators.lineage import written
+from scrivia.operators.registry import replace_content
+
 BUCKETS = 64
 
 
 def write_content(df: DataFrame, path: str, key: str = "document_id", buckets: int = BUCKETS) -> None:
-    """Rewrite only the buckets that hold the documents of `df`; a bucket is replaced as a whole."""
-    bucketed = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
-    bucketed.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    """Replace the stored content of the documents of `df`, and keep that of all others.
+
+    Only the buckets that hold these documents are rewritten: their other documents are read and written with the new
+    rows, first to the shared folder, since a bucket cannot be overwritten while it is read.
+    """
+    spark = df.sparkSession
+    fresh = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    if _exists(spark, path):
+        stored = spark.read.parquet(path).withColumn("bucket", F.col("bucket").cast("int"))
+        touched = stored.join(F.broadcast(fresh.select("bucket").distinct()), "bucket", "left_semi")  # `buckets` rows at most
+        fresh = replace_content(touched.select(*fresh.columns), fresh, key)
+    fresh = written(fresh, "content")
+    fresh.repartition("bucket", key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        return bool(spark.read.parquet(path).columns)
+    except AnalysisException:
+        return False
 
 
 def succeeded_content(content: DataFrame, outcome: DataFrame) -> DataFrame:

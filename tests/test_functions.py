@@ -26,7 +26,7 @@ def test_markdown_rows(spark):
 
 
 def test_citations_and_links(spark):
-    assert one(spark, T.citations(F.lit("Revenue rose [2] and costs fell [1][2]. [123]"))) == [1, 2]
+    assert one(spark, T.citations(F.lit("Herons nest early [2], storks late [1][2]. [123]"))) == [1, 2]
     assert one(spark, T.link_citations(F.lit("a [1] `[1]` [2](x) [9]"), F.lit(2))) == "a [1](#cite-1) `[1]` [2](x) [9]"
 
 
@@ -56,3 +56,6 @@ def test_staging_rejects(spark):
 def test_slugs(spark):
     names = spark.createDataFrame([(1, "My Docs"), (2, "my docs!"), (3, "")], "id long, name string")
     assert {r.id: r.slug for r in registry.unique_slugs(names, "name", "id").collect()} == {1: "my-docs", 2: "my-docs-2", 3: "collection"}
+    names = spark.createDataFrame(list(enumerate(["a-2", "a", "a", "a", "b", "a 2", "b", "x" * 39 + "-y"])), "id long, name string")
+    got = {r.id: r.slug for r in registry.unique_slugs(names, "name", "id").collect()}
+    assert got == {0: "a-2", 1: "a", 2: "a-3", 3: "a-4", 4: "b", 5: "a-2-2", 6: "b-2", 7: "x" * 39 + "-"}

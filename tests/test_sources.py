@@ -38,6 +38,10 @@ def test_content_is_replaced_by_bucket(spark, tmp_path):
     got = {r.document_id: r.v for r in spark.read.parquet(path).collect()}
     changed = {r.document_id for r in one.collect()}
     assert len(got) == 50 and changed and all(got[f"d{i}"] == i + 100 * (f"d{i}" in changed) for i in range(50))
+    # one document of a bucket: its rows are replaced, those of the others stay
+    sinks.write_content(spark.createDataFrame([("d7", -1), ("d7", -2), ("new", 5)], "document_id string, v int"), path, buckets=8)
+    after = sorted((r.document_id, r.v) for r in spark.read.parquet(path).collect())
+    assert after == sorted([(d, v) for d, v in got.items() if d != "d7"] + [("d7", -1), ("d7", -2), ("new", 5)])
 
 
 def test_failed_ingest_keeps_no_content(spark):
