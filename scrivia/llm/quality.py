@@ -1,10 +1,11 @@
 """Quality rules with adaptive thresholds.
 
-Base counts of every text become ratios in whole thousandths. Their quantile sketches are counts per thousandth, for
-each language and source: they merge by addition, so tasks sum them before the shuffle, and the sketches of small
-groups fall back on those of their language, merged from the same counts, or of all. A threshold lies above a
-group's median by a multiple of the spread of its lower half, and by a margin; then documents meet the thresholds of
-their group and are filtered.
+Base counts of every text become ratios in whole numbers. Their quantile sketches, over the documents that pass the
+fixed base rules, are counts per whole number, for each language and source: they merge by addition, so tasks sum them
+before the shuffle, and the sketches of small groups fall back on those of their language, merged from the same
+counts, or of all. A sketch has at most LARGEST + 1 cells, its ranks are exact, and its values are below by less than
+one unit. Limits lie beyond a group's quantiles by a multiple of their distance, so they follow the group; then
+documents meet the limits of their group and are filtered.
 """
 
 from __future__ import annotations
@@ -22,10 +23,17 @@ from scrivia.llm.common import WORD, stash, table
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
-#: Ratios, each with the margin above its group's spread, in thousandths.
-METRICS = {"symbol_ratio": 50, "dup_line_ratio": 350, "repeat_ratio": 300}
-#: A threshold is median + SPREAD * (median - lower quartile) + margin.
+#: Ratios in thousandths, each with two quantiles and a margin: the limit is the upper quantile, and SPREAD times its
+#: distance from the lower one, and the margin. Symbols are rarer in clean texts than repeated lines and words are.
+UPPER = {"symbol_ratio": ("q75", "q50", 50), "dup_line_ratio": ("q90", "q75", 350), "repeat_ratio": ("q90", "q75", 150)}
 SPREAD = 6
+#: The mean length of a word, in hundredths of a character, has limits on both sides of the median, WIDTH times the
+#: smaller distance of the quartiles from it, or LEAST_WIDTH. The smaller one is that of clean texts even where a third
+#: of a group are long or short by junk.
+WIDTH, LEAST_WIDTH = 12, 8
+METRICS = [*UPPER, "word_length"]
+LARGEST = 2000
+QUANTILES = {"q25": (1, 4), "q50": (1, 2), "q75": (3, 4), "q90": (9, 10)}
 #: Groups with fewer documents take the sketch of their language, or of all.
 MIN_GROUP = 100
 #: Up to so many groups, their thresholds are broadcast.
@@ -73,7 +81,7 @@ def repeated_words(words: list[str]) -> int:
 
 
 def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add the BASE counts, the ratios in METRICS and base_failed to every row; a null text counts as empty."""
+    """Add the BASE counts, METRICS and base_failed to every row; a null text counts as empty."""
     schema = ", ".join(f"{name}: bigint" for name in BASE)
 
     @F.arrow_udf(f"struct<{schema}>")
@@ -89,6 +97,7 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "symbol_ratio": ratio("n_symbols", "word_chars"),
             "dup_line_ratio": ratio("n_dup_lines", "n_lines"),
             "repeat_ratio": ratio("n_repeat_words", "n_words"),
+            "word_length": F.least(F.lit(LARGEST), F.expr("coalesce(word_chars * 100 div nullif(n_words, 0), 0)")),
             "base_failed": (F.col("n_words") < MIN_WORDS)
             | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
         }
@@ -96,51 +105,54 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def sketches(counted: DataFrame) -> DataFrame:
-    """lang, source, metric, bin, n: the mergeable sketch of every group that occurs."""
+    """lang, source, metric, bin, n: the mergeable sketch of every group that has a document that passes the base rules."""
     cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("int").alias("bin")) for m in METRICS])
-    return counted.select("lang", "source", F.inline(cells)).groupBy("lang", "source", "metric", "bin").agg(F.count("*").alias("n"))
+    passed = counted.where("not base_failed").select("lang", "source", F.inline(cells))
+    return passed.groupBy("lang", "source", "metric", "bin").agg(F.count("*").alias("n"))
+
+
+def _limits(summed: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, metric, total, least, most of every sketch in `summed`."""
+    running = Window.partitionBy(*keys, "metric").orderBy("bin")
+    placed = summed.withColumns({"_upto": F.sum("n").over(running), "_total": F.sum("n").over(Window.partitionBy(*keys, "metric"))})
+    quantiles = [F.min(F.when(F.col("_upto") * of >= F.col("_total") * part, F.col("bin"))).alias(name) for name, (part, of) in QUANTILES.items()]
+    found = placed.groupBy(*keys, "metric").agg(F.max("_total").alias("total"), *quantiles)
+    width = WIDTH * F.greatest(F.lit(LEAST_WIDTH), F.least(F.col("q50") - F.col("q25"), F.col("q75") - F.col("q50")))
+    most = F.col("q50") + width
+    for metric, (high, low, margin) in UPPER.items():
+        most = F.when(F.col("metric") == metric, F.col(high) + SPREAD * (F.col(high) - F.col(low)) + margin).otherwise(most)
+    least = F.when(F.col("metric") == "word_length", F.col("q50") - width).otherwise(0)
+    return found.select(*keys, "metric", "total", least.alias("least"), most.alias("most"))
 
 
 def group_thresholds(cells: DataFrame) -> DataFrame:
-    """lang, source, max_<metric> for every group, from its own sketch or the one it falls back on."""
-    merged = {
-        "own": ["lang", "source"],
-        "of_lang": ["lang"],
-        "of_all": [],
-    }
-    margins = F.create_map(*[F.lit(x) for pair in METRICS.items() for x in pair])
-    out = {}
-    for name, keys in merged.items():
-        summed = cells.groupBy(*keys, "metric", "bin").agg(F.sum("n").alias("n"))
-        running = Window.partitionBy(*keys, "metric").orderBy("bin")
-        whole = Window.partitionBy(*keys, "metric")
-        placed = summed.withColumns({"_upto": F.sum("n").over(running), "_total": F.sum("n").over(whole)})
-        quantile = lambda part: F.min(F.when(F.col("_upto") * part >= F.col("_total"), F.col("bin")))
-        limits = placed.groupBy(*keys, "metric").agg(quantile(4).alias("_q25"), quantile(2).alias("_q50"), F.max("_total").alias("_n"))
-        limit = F.col("_q50") + SPREAD * (F.col("_q50") - F.col("_q25")) + margins[F.col("metric")]
-        out[name] = limits.groupBy(*keys).agg(
-            F.max("_n").alias(f"_n_{name}"), *[F.max(F.when(F.col("metric") == m, limit)).alias(f"_{m}_{name}") for m in METRICS]
+    """lang, source, and least_<metric> and most_<metric> of every group, from its own sketch or the one it falls back on."""
+    of = {}
+    for name, keys in {"own": ["lang", "source"], "of_lang": ["lang"], "of_all": []}.items():
+        wide = _limits(cells.groupBy(*keys, "metric", "bin").agg(F.sum("n").alias("n")), keys).groupBy(*keys)
+        value = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
+        of[name] = wide.agg(
+            F.max("total").alias(f"_n_{name}"), *[value(m, c).alias(f"_{c}_{m}_{name}") for m in METRICS for c in ("least", "most")]
         )
-    own, of_lang = out["own"].alias("o"), out["of_lang"].alias("l")
-    met = own.join(of_lang, F.col("o.lang").eqNullSafe(F.col("l.lang"))).select("o.*", *[f"l.{c}" for c in out["of_lang"].columns if c != "lang"])
-    met = met.withColumn("_one", F.lit(1)).join(out["of_all"].withColumn("_one", F.lit(1)), "_one")
-    chosen = lambda m: (
-        F.when(F.col("_n_own") >= MIN_GROUP, F.col(f"_{m}_own"))
-        .when(F.col("_n_of_lang") >= MIN_GROUP, F.col(f"_{m}_of_lang"))
-        .otherwise(F.col(f"_{m}_of_all"))
+    own, of_lang = of["own"].alias("o"), of["of_lang"].alias("l")
+    met = own.join(of_lang, F.col("o.lang").eqNullSafe(F.col("l.lang"))).select("o.*", *[f"l.{c}" for c in of["of_lang"].columns if c != "lang"])
+    met = met.withColumn("_one", F.lit(1)).join(of["of_all"].withColumn("_one", F.lit(1)), "_one")  # one row
+    chosen = lambda x: (
+        F.when(F.col("_n_own") >= MIN_GROUP, F.col(f"_{x}_own")).when(F.col("_n_of_lang") >= MIN_GROUP, F.col(f"_{x}_of_lang")).otherwise(F.col(f"_{x}_of_all"))
     )
-    return met.select("lang", "source", *[chosen(m).alias(f"max_{m}") for m in METRICS])
+    return met.select("lang", "source", *[chosen(f"{c}_{m}").alias(f"{c}_{m}") for m in METRICS for c in ("least", "most")])
 
 
 def judge(counted: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Add kept: false if base_failed or if a ratio is above its group's threshold."""
-    limits = thresholds.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[f"max_{m}" for m in METRICS])
+    """Add kept: false if base_failed or if a metric is beyond its group's limits."""
+    names = [f"{c}_{m}" for m in METRICS for c in ("least", "most")]
+    limits = thresholds.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *names)
     if limits.count() <= MAX_BROADCAST_GROUPS:
         limits = F.broadcast(limits)
     met = counted.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     fine = ~F.col("base_failed")
     for m in METRICS:
-        fine = fine & (F.col(m) <= F.col(f"max_{m}"))
+        fine = fine & F.col(m).between(F.col(f"least_{m}"), F.col(f"most_{m}"))
     return met.withColumn("kept", F.coalesce(fine, F.lit(False))).drop("_lang", "_source")
 
 
@@ -148,14 +160,13 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of `docs` (lang, source, text) that pass, with their columns.
 
     A null or empty text has no words and goes; a null lang or source is a group of its own; repeated rows are
-    judged each; an empty table stays empty; columns named like a count or ratio are carried as they are.
+    judged each; an empty table stays empty; columns named like a count or ratio are carried as they are. Texts are
+    counted once: rows wait in the shared folder with their counts.
     """
-    columns = docs.columns
-    renamed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), "text", "lang", "source"
-    )
-    limits = stash(group_thresholds(sketches(with_counts(renamed.select("text", "lang", "source")).drop("text"))), "quality-thresholds")
-    return judge(with_counts(renamed), limits).where("kept").select("_row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text", "lang", "source")
+    counted = stash(with_counts(rows).drop("text"), "quality-rows")
+    limits = stash(group_thresholds(sketches(counted)), "quality-thresholds")
+    return judge(counted, limits).where("kept").select("_row.*")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,12 +199,13 @@ WITH cut AS (
   SELECT *, least(1000, coalesce(n_symbols * 1000 // nullif(word_chars, 0), 0)) AS symbol_ratio,
          least(1000, coalesce(n_dup_lines * 1000 // nullif(n_lines, 0), 0)) AS dup_line_ratio,
          least(1000, coalesce(n_repeat_words * 1000 // nullif(n_words, 0), 0)) AS repeat_ratio,
+         least(2000, coalesce(word_chars * 100 // nullif(n_words, 0), 0)) AS word_length,
          n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
   FROM counts
 ), cells AS (
   SELECT lang, source, metric, bin, count(*) AS n
-  FROM (SELECT lang, source, unnest(['symbol_ratio', 'dup_line_ratio', 'repeat_ratio']) AS metric,
-               unnest([symbol_ratio, dup_line_ratio, repeat_ratio]) AS bin FROM ratios) GROUP BY ALL
+  FROM (SELECT lang, source, unnest(['symbol_ratio', 'dup_line_ratio', 'repeat_ratio', 'word_length']) AS metric,
+               unnest([symbol_ratio, dup_line_ratio, repeat_ratio, word_length]) AS bin FROM ratios WHERE NOT base_failed) GROUP BY ALL
 ), levels AS (
   SELECT 0 AS level, lang, source, metric, bin, n FROM cells
   UNION ALL SELECT 1, lang, NULL, metric, bin, sum(n) FROM cells GROUP BY ALL
@@ -202,22 +214,27 @@ WITH cut AS (
   SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bin) AS upto,
          sum(n) OVER (PARTITION BY level, lang, source, metric) AS total FROM levels
 ), quantiles AS (
-  SELECT level, lang, source, metric, min(bin) FILTER (4 * upto >= total) AS q25, min(bin) FILTER (2 * upto >= total) AS q50, max(total) AS n
+  SELECT level, lang, source, metric, max(total) AS n, min(bin) FILTER (4 * upto >= total) AS q25, min(bin) FILTER (2 * upto >= total) AS q50,
+         min(bin) FILTER (4 * upto >= 3 * total) AS q75, min(bin) FILTER (10 * upto >= 9 * total) AS q90
   FROM placed GROUP BY ALL
 ), limits AS (
   SELECT level, lang, source, metric, n,
-         q50 + 6 * (q50 - q25) + CASE metric WHEN 'symbol_ratio' THEN 50 WHEN 'dup_line_ratio' THEN 350 ELSE 300 END AS most
+         CASE metric WHEN 'word_length' THEN q50 - 12 * greatest(8, least(q50 - q25, q75 - q50)) ELSE 0 END AS lo,
+         CASE metric WHEN 'symbol_ratio' THEN q75 + 6 * (q75 - q50) + 50 WHEN 'dup_line_ratio' THEN q90 + 6 * (q90 - q75) + 350
+                     WHEN 'repeat_ratio' THEN q90 + 6 * (q90 - q75) + 150 ELSE q50 + 12 * greatest(8, least(q50 - q25, q75 - q50)) END AS hi
   FROM quantiles
 ), chosen AS (
-  SELECT o.lang, o.source, o.metric, CASE WHEN o.n >= 100 THEN o.most WHEN l.n >= 100 THEN l.most ELSE a.most END AS most
+  SELECT o.lang, o.source, o.metric, CASE WHEN o.n >= 100 THEN o.lo WHEN l.n >= 100 THEN l.lo ELSE a.lo END AS lo,
+         CASE WHEN o.n >= 100 THEN o.hi WHEN l.n >= 100 THEN l.hi ELSE a.hi END AS hi
   FROM limits o JOIN limits l ON o.level = 0 AND l.level = 1 AND l.lang IS NOT DISTINCT FROM o.lang AND l.metric = o.metric
   JOIN limits a ON a.level = 2 AND a.metric = o.metric
 ), wide AS (
-  SELECT lang, source, max(most) FILTER (metric = 'symbol_ratio') AS s, max(most) FILTER (metric = 'dup_line_ratio') AS d,
-         max(most) FILTER (metric = 'repeat_ratio') AS p FROM chosen GROUP BY ALL
+  SELECT lang, source, max(hi) FILTER (metric = 'symbol_ratio') AS s, max(hi) FILTER (metric = 'dup_line_ratio') AS d,
+         max(hi) FILTER (metric = 'repeat_ratio') AS p, max(lo) FILTER (metric = 'word_length') AS w0, max(hi) FILTER (metric = 'word_length') AS w1
+  FROM chosen GROUP BY ALL
 )
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-       NOT base_failed AND symbol_ratio <= s AND dup_line_ratio <= d AND repeat_ratio <= p AS kept
-FROM ratios r JOIN wide w ON r.lang IS NOT DISTINCT FROM w.lang AND r.source IS NOT DISTINCT FROM w.source
+       coalesce(NOT base_failed AND symbol_ratio <= s AND dup_line_ratio <= d AND repeat_ratio <= p AND word_length BETWEEN w0 AND w1, false) AS kept
+FROM ratios r LEFT JOIN wide w ON r.lang IS NOT DISTINCT FROM w.lang AND r.source IS NOT DISTINCT FROM w.source
 """

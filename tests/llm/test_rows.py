@@ -1,6 +1,7 @@
 """URL filters, mixing, search, quality rules."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from scrivia.llm import mixing, quality, top_k_search, url_filter
 
@@ -86,13 +87,32 @@ def test_base_counts():
     assert quality.repeated_words(["a"] * 5) == 5
 
 
-def test_thresholds_fall_back_and_ignore_a_third_of_junk(spark):
-    rows = [("en", "s", 0)] * 200 + [("en", "s", 330)] * 100 + [("en", "t", 330)] * 3
-    df = spark.createDataFrame(rows, "lang string, source string, symbol_ratio int").selectExpr("*", "0 dup_line_ratio", "0 repeat_ratio", "false base_failed")
-    limits = {r.source: r.max_symbol_ratio for r in quality.group_thresholds(quality.sketches(df)).collect()}
-    assert limits == {"s": 50, "t": 50}
+def counted_rows(spark, rows):
+    schema = "lang string, source string, symbol_ratio int, word_length int"
+    return spark.createDataFrame(rows, schema).selectExpr("*", "0 dup_line_ratio", "0 repeat_ratio", "false base_failed")
+
+
+def test_thresholds_follow_groups_and_ignore_a_third_of_junk(spark):
+    words = lambda mean, n: [mean - 20 + i % 41 for i in range(n)]
+    rows = [("en", "s", 0, w) for w in words(500, 200)] + [("en", "s", 330, 800)] * 99 + [("en", "t", 330, 800)] * 3 + [("de", "s", 0, w) for w in words(600, 200)]
+    df = counted_rows(spark, rows)
+    limits = {(r.lang, r.source): r for r in quality.group_thresholds(quality.sketches(df)).collect()}
+    assert limits["en", "s"].most_symbol_ratio == limits["en", "t"].most_symbol_ratio == 50  # t falls back on its language
+    assert limits["en", "s"].most_word_length < 790 and limits["de", "s"].most_word_length > limits["en", "s"].most_word_length
     kept = quality.judge(df, quality.group_thresholds(quality.sketches(df)))
-    assert kept.where("kept").count() == 200
+    assert kept.where("kept").count() == 400 and kept.where("kept and symbol_ratio > 0").count() == 0
+    base = df.withColumn("base_failed", F.lit(True))
+    assert quality.judge(base, quality.group_thresholds(quality.sketches(base))).where("kept").count() == 0
+
+
+def test_limits_differ_between_groups_and_keep_clean_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    limits = quality.group_thresholds(quality.sketches(quality.with_counts(docs))).collect()
+    assert len({(r.least_word_length, r.most_word_length, r.most_repeat_ratio) for r in limits}) >= 4
+    labelled = quality.op8_quality_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("not base_failed")
+    kept = {r.quality: (r.kept, r.n) for r in labelled.groupBy("quality").agg(F.count_if("kept").alias("kept"), F.count("*").alias("n")).collect()}
+    assert kept[1][0] >= 0.99 * kept[1][1] and kept[0][0] <= 0.2 * kept[0][1]
 
 
 def test_quality_of_odd_texts(spark, odd_documents):
