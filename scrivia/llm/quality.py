@@ -24,8 +24,9 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 #: Ratios in thousandths, each with two quantiles and a margin: the limit is the upper quantile, and SPREAD times its
-#: distance from the lower one, and the margin. Symbols are rarer in clean texts than repeated lines and words are.
-UPPER = {"symbol_ratio": ("q75", "q50", 50), "dup_line_ratio": ("q90", "q75", 350), "repeat_ratio": ("q90", "q75", 150)}
+#: distance from the lower one, and the margin. Most clean texts have neither symbols nor repeated lines, so there the
+#: margin decides, and no third of junk moves it; words that repeat are usual in some groups and hardly in others.
+UPPER = {"symbol_ratio": ("q50", "q25", 50), "dup_line_ratio": ("q50", "q25", 350), "repeat_ratio": ("q90", "q75", 150)}
 SPREAD = 6
 #: The mean length of a word, in hundredths of a character, has limits on both sides of the median, WIDTH times the
 #: smaller distance of the quartiles from it, or LEAST_WIDTH. The smaller one is that of clean texts even where a third
@@ -220,7 +221,7 @@ WITH cut AS (
 ), limits AS (
   SELECT level, lang, source, metric, n,
          CASE metric WHEN 'word_length' THEN q50 - 12 * greatest(8, least(q50 - q25, q75 - q50)) ELSE 0 END AS lo,
-         CASE metric WHEN 'symbol_ratio' THEN q75 + 6 * (q75 - q50) + 50 WHEN 'dup_line_ratio' THEN q90 + 6 * (q90 - q75) + 350
+         CASE metric WHEN 'symbol_ratio' THEN q50 + 6 * (q50 - q25) + 50 WHEN 'dup_line_ratio' THEN q50 + 6 * (q50 - q25) + 350
                      WHEN 'repeat_ratio' THEN q90 + 6 * (q90 - q75) + 150 ELSE q50 + 12 * greatest(8, least(q50 - q25, q75 - q50)) END AS hi
   FROM quantiles
 ), chosen AS (
