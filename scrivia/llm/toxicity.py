@@ -15,6 +15,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -45,7 +46,10 @@ LETTERS, OTHER = 28, 27
 TRAIN_PER_CLASS = 10_000
 TRAIN_PARTITIONS = 12
 FEATURES = 2**20
+#: Features of the regression at most, those with the strongest evidence in the sample: a bound of the classifier.
 LEXICON = 4096
+#: Characters whose trigrams are counted together.
+CODES_TOGETHER = 1 << 20
 #: A feature in the lexicon has at least these log-odds, less a standard error.
 MIN_ODDS = 0.7
 #: How a word may begin, in letters.
@@ -60,7 +64,8 @@ _SPACED = re.compile(rf"(?<!\S){_SIGN}{{0,3}}\S{_SIGN}{{0,3}}(?:\s+{_SIGN}{{0,3}
 _GAP = re.compile(r"\s+")
 _REPEATED = re.compile(r"(.)\1")
 _DOUBLED = re.compile(r"([^\W\d_])\1+")
-_EDGE = re.compile(r"^[^\w@$!|+(€£¡]+|[^\w@$|+€£]+$|(\W)\1+$|^(\W)\1+")
+#: Signs that may be letters at the beginning and at the end of a word.
+_OPENING, _CLOSING = "@$!|+(€£¡", "@$|+€£"
 _SIGNS = re.compile("[" + re.escape("".join(READINGS)) + "]")
 _PARTED = re.compile("[" + re.escape(SEPARATORS) + "]+")
 _workers: dict[int, "Scorer"] = {}
@@ -75,20 +80,16 @@ class Model(NamedTuple):
 # -- the channel
 
 
-def _class_table() -> np.ndarray:
-    table = np.zeros(256, np.int64)
-    for i in range(26):
-        table[ord("a") + i] = table[ord("A") + i] = i + 1
-    table[0xC0:] = OTHER
-    table[0xD7] = table[0xF7] = 0
-    return table
-
-
-CLASSES = _class_table()
+@lru_cache(maxsize=1)
+def classes() -> np.ndarray:
+    """The class of every code point: 0 an edge or sign, 1-26 a letter, OTHER a letter beyond a-z."""
+    of = np.fromiter((OTHER if chr(i).isalpha() else 0 for i in range(0x110000)), np.int8, 0x110000)
+    of[ord("a") : ord("z") + 1] = of[ord("A") : ord("Z") + 1] = np.arange(1, 27)
+    return of
 
 
 def _char_class(c: str) -> int:
-    return int(CLASSES[ord(c)]) if ord(c) < 256 else OTHER
+    return int(classes()[ord(c)])
 
 
 def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,8 +97,11 @@ def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             text = "  ".join(t for t in batch.column(0).slice(at, 256).to_pylist() if t)
-            codes = CLASSES[np.frombuffer(f"  {text}  ".encode("latin-1", "replace"), np.uint8)]
-            total += np.bincount((codes[:-2] * LETTERS + codes[1:-1]) * LETTERS + codes[2:], minlength=LETTERS**3)
+            for start in range(0, len(text) or 1, CODES_TOGETHER):  # two characters more, so that no trigram is lost
+                part = text[max(0, start - 2) : start + CODES_TOGETHER]
+                edges = ("" if start else "  ", "  " if start + CODES_TOGETHER >= len(text) else "")
+                codes = classes()[np.frombuffer(f"{edges[0]}{part}{edges[1]}".encode("utf-32-le"), "<u4")].astype(np.int64)
+                total += np.bincount((codes[:-2] * LETTERS + codes[1:-1]) * LETTERS + codes[2:], minlength=LETTERS**3)
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_pydict({"gram": pa.array(seen, pa.int64()), "n": pa.array(total[seen], pa.int64())})
 
@@ -160,8 +164,7 @@ class Restorer:
         core = chunk.lower().lstrip("\"'([{").rstrip(".,;:?\"')]}")
         if core.isalpha():
             return self.word(core)
-        while (cut := _EDGE.sub("", core)) != core:
-            core = cut
+        core = bare(core)
         if core.isalpha():
             return self.word(core)
         pieces = [p for p in _PARTED.split(core) if p]
@@ -173,8 +176,8 @@ class Restorer:
             out += words
             if words and (_SIGNS.search(piece) or _REPEATED.search(piece)):
                 out.append(self.viterbi(piece))
-                if any(s in piece for s in "!|+(") and (bare := piece.strip("!|+(")) and not bare.isalpha():
-                    out.append(self.viterbi(bare))
+                if any(s in piece for s in "!|+(") and (inner := piece.strip("!|+(")) and not inner.isalpha():
+                    out.append(self.viterbi(inner))
         if len(pieces) > 1:
             out.append(self.viterbi(core))  # the parts may be one word after all
         return out
@@ -186,7 +189,7 @@ class Restorer:
         out: list[str] = []
         for found in _SPACED.finditer(text):
             run = found[0].lower()
-            letters = [bare for c in run.split() for bare in [c.strip(SEPARATORS + ";?\"()[]{}") or c[:1]]]
+            letters = [c.strip(SEPARATORS + ";?\"()[]{}") or c[:1] for c in run.split()]
             gaps = [len(g) > 1 or g not in " \t" for g in _GAP.findall(run)]
             wide = any(gaps) and not all(gaps)
             places: dict[int, bool] = {}
@@ -214,6 +217,29 @@ class Restorer:
         return out
 
 
+def bare(chunk: str) -> str:
+    """A chunk without the signs at its ends that cannot be letters, and without repeated signs there; each character is
+    looked at once."""
+    inside = lambda c: c == "_" or c.isalnum()
+    a, b = 0, len(chunk)
+    while True:
+        was = (a, b)
+        while a < b and not (inside(chunk[a]) or chunk[a] in _OPENING):
+            a += 1
+        while a < b and not (inside(chunk[b - 1]) or chunk[b - 1] in _CLOSING):
+            b -= 1
+        if b - a >= 2 and chunk[b - 1] == chunk[b - 2] and not inside(chunk[b - 1]):
+            last = chunk[b - 1]
+            while a < b and chunk[b - 1] == last:
+                b -= 1
+        if b - a >= 2 and chunk[a] == chunk[a + 1] and not inside(chunk[a]):
+            first = chunk[a]
+            while a < b and chunk[a] == first:
+                a += 1
+        if (a, b) == was:
+            return chunk[a:b]
+
+
 def undoubled(word: str) -> list[str]:
     """The word with each of its doubled letters as one or two, but not as it is."""
     runs = [(m.start(), m.end()) for m in _DOUBLED.finditer(word)]
@@ -375,7 +401,8 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> Da
     """Add score (0 to 1) to every row; reads only the text.
 
     A null or empty text has no evidence and takes the intercept's value; repeated rows are scored each; an empty
-    table stays empty; other columns are carried, one named score is replaced. Texts are read whole.
+    table stays empty; other columns are carried, one named score is replaced. Texts are read whole, in time that
+    grows with their length.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
