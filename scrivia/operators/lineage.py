@@ -9,9 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share; a temporary one only where the cluster names none."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share, under the application's id.
+
+    The cluster names the place in spark.checkpoint.dir, or the program by setCheckpointDir. A temporary folder will do
+    only where driver and executors are one process.
+    """
+    sc = spark.sparkContext
+    top = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not top:
+        if not sc.master.startswith("local"):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+        top = tempfile.mkdtemp(prefix="spark-")
+        sc.setCheckpointDir(top)
+    return f"{top.rstrip('/')}/{sc.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
