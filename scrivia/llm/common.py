@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scrivia.operators.lineage import shared_path
+
 #: Words, as every operator on words takes them: runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_holder: list[tuple[str, Callable[[], object]]] = []
+
+
+def hold_cache(owner: str, clear: Callable[[], object]) -> None:
+    """Called in a Python worker before an operator fills its cache: the cache of any other operator that ran in this
+    worker is emptied, so a worker that is used again holds one cache at a time."""
+    if not _holder or _holder[0][0] != owner:
+        for _, empty in _holder:
+            empty()
+        _holder[:] = [(owner, clear)]
+        gc.collect()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -21,16 +36,6 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none."""
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(configured)
-    return configured.rstrip("/")
-
-
 def stash(df: DataFrame, name: str, fmt: str = "parquet", **options: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back: lineage ends here and survives lost executors."""
     path = stash_path(df.sparkSession, name)
@@ -39,7 +44,7 @@ def stash(df: DataFrame, name: str, fmt: str = "parquet", **options: str) -> Dat
 
 
 def stash_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return shared_path(spark, name)
 
 
 def input_partitions(spark: SparkSession) -> int:

@@ -11,17 +11,21 @@ import itertools
 import math
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivia.llm.common import held_out, table
+from scrivia.llm.common import held_out, hold_cache, stash, table
 
 #: Labelled documents of a language that the model is fitted on, about: a sample by the checksum of the id.
 TRAIN_PER_LANGUAGE = 4000
 TRAIN_PARTITIONS = 12
+#: Values of lang that a model is learned for; more are refused, as they are no languages (256 KB of counts each).
+MAX_LANGUAGES = 512
 BUCKETS = 2**15
 SMOOTHING = 0.05
 MAX_ROUNDS = 25
@@ -30,6 +34,7 @@ PENALTY = 3.0
 CACHED = 300_000
 LONGEST_KEPT = 48
 UNDETERMINED = "und"
+OUT = ["lang_pred", "score", "langs", "shares"]
 
 _WORD = re.compile(r"[^\W\d_]+")
 _workers: dict[int, "Mixture"] = {}
@@ -69,27 +74,40 @@ def train(docs: DataFrame) -> tuple[list[str], bytes]:
     """Languages and their n-gram log-likelihoods (float32, one row of BUCKETS each).
 
     Learns from rows with a text and a lang whose id is not held out; of each language a sample of about
-    TRAIN_PER_LANGUAGE documents. The result has 128 KB a language.
+    TRAIN_PER_LANGUAGE documents. Counts of tasks are added up on executors. The result has 128 KB a language; more than
+    MAX_LANGUAGES languages raise a ValueError.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counted = usable.groupBy("lang").count()
+    counted = stash(usable.groupBy("lang").count(), "language-sizes")
+    if counted.count() > MAX_LANGUAGES:
+        raise ValueError(f"lang has more than {MAX_LANGUAGES} values")
     share = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1_000_003)) / 1_000_003
-    # languages are few, so their counts are
-    sample = usable.join(F.broadcast(counted), "lang").where(share * F.col("count") < TRAIN_PER_LANGUAGE)
-    gathered = (
-        sample.select("lang", "text")
-        .repartition(TRAIN_PARTITIONS)
-        .mapInArrow(_gather, "lang string, counts binary")
-        .collect()  # at most TRAIN_PARTITIONS rows a language
-    )
-    total: dict[str, np.ndarray] = {}
-    for row in gathered:
-        total[row.lang] = total.get(row.lang, 0) + np.frombuffer(row.counts, np.int64)
+    sample = usable.join(F.broadcast(counted), "lang").where(share * F.col("count") < TRAIN_PER_LANGUAGE)  # MAX_LANGUAGES rows
+    gathered = sample.select("lang", "text").repartition(TRAIN_PARTITIONS).mapInArrow(_gather, "lang string, counts binary")
+
+    def added(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(c, np.int64) for c in rows["counts"]], axis=0)
+        return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "counts": [total.astype(np.int64).tobytes()]})
+
+    summed = gathered.groupBy("lang").applyInPandas(added, "lang string, counts binary").collect()  # one row a language
+    total = {row.lang: np.frombuffer(row.counts, np.int64) for row in summed}
     langs = sorted(total)
     logs = [np.log((total[x] + SMOOTHING) / (total[x].sum() + SMOOTHING * BUCKETS)) for x in langs]
     return langs, np.array(logs, np.float32).tobytes()
 
 
+class Found(NamedTuple):
+    """The language named, its proportion, and the chosen set of languages with their proportions, largest first."""
+
+    lang: str
+    score: float
+    langs: list[str]
+    shares: list[float]
+
+
+NOTHING = Found(UNDETERMINED, 0.0, [], [])
+
+
 class Mixture:
     """A worker's model, with the likelihoods of the words it has met."""
 
@@ -103,7 +121,7 @@ class Mixture:
         buckets, counts = ngram_buckets(words)
         return np.add.reduceat(self.logs[buckets].astype(np.float64), np.cumsum(counts) - counts, axis=0)
 
-    def documents(self, texts: list[str | None]) -> list[tuple[str, float]]:
+    def documents(self, texts: list[str | None]) -> list[Found]:
         found = [_WORD.findall(t.lower()) if t else [] for t in texts]
         words = set().union(*found)
         new = [w for w in words if w not in self.rows]
@@ -119,15 +137,15 @@ class Mixture:
             del self.rows[word]
         return out
 
-    def document(self, text: str | None, words: list[str]) -> tuple[str, float]:
+    def document(self, text: str | None, words: list[str]) -> Found:
         # the pattern takes some numerals for letters
         if not words or not self.langs or not any(map(str.isalpha, itertools.chain.from_iterable(words))):
-            return UNDETERMINED, 0.0
+            return NOTHING
         at, times = np.unique(np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words)), return_counts=True)
         return self.infer(self.likelihood[at], times.astype(np.float64))
 
-    def infer(self, logs: np.ndarray, times: np.ndarray) -> tuple[str, float]:
-        """Language and its proportion among all, from the words' log-likelihoods and counts."""
+    def infer(self, logs: np.ndarray, times: np.ndarray) -> Found:
+        """The set of languages with the largest penalised likelihood, from the words' log-likelihoods and counts."""
         total, top = times.sum(), logs.max(axis=1)
         likelihood = np.exp(logs - top[:, None])
         share, _ = mixture(likelihood, times, np.full(len(self.langs), 1 / len(self.langs)))
@@ -144,8 +162,10 @@ class Mixture:
             own_share, value = mixture(likelihood[:, members], times, share[members] / max(share[members].sum(), 1e-300))
             if value - price > best:
                 chosen, chosen_share, best = list(members), own_share, value - price
-        named = chosen[int(np.argmax(chosen_share))]
-        return self.langs[named], float(min(1.0, max(0.0, share[named])))
+        largest = np.argsort(-np.asarray(chosen_share), kind="stable").tolist()
+        shares = [float(min(1.0, max(0.0, chosen_share[i]))) for i in largest]
+        langs = [self.langs[chosen[i]] for i in largest]
+        return Found(langs[0], shares[0], langs, shares)
 
 
 def mixture(likelihood: np.ndarray, times: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, float]:
@@ -162,29 +182,33 @@ def mixture(likelihood: np.ndarray, times: np.ndarray, share: np.ndarray) -> tup
 
 
 def identify(docs: DataFrame, model: tuple[list[str], bytes], text_col: str = "text") -> DataFrame:
-    """Add lang_pred and score (that language's proportion, 0 to 1) to every row.
+    """Add lang_pred, score (that language's proportion in the chosen set, 0 to 1), langs and shares (the set and its
+    proportions, largest first) to every row; columns of these names are replaced.
 
-    A null text, or one without a letter, is `und` with score 0; so is every text if nothing could be learned. Texts
-    are read whole; repeated rows are judged each; an empty table stays empty; other columns are carried.
+    A null text, or one without a letter, is `und` with score 0 and no languages; so is every text if nothing could be
+    learned. Texts are read whole; repeated rows are judged each; an empty table stays empty; other columns are carried.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    @F.arrow_udf("struct<lang_pred: string, score: double, langs: array<string>, shares: array<double>>")
     def predict(texts: pa.Array) -> pa.Array:
+        hold_cache("langid", _workers.clear)
         key = hash((tuple(shared.value[0]), shared.value[1]))
         if key not in _workers:
             _workers.clear()
             _workers[key] = Mixture(*shared.value)
-        out: list[tuple[str, float]] = []
+        out: list[Found] = []
         for at in range(0, len(texts), 256):
             out += _workers[key].documents(texts.slice(at, 256).to_pylist())
-        return pa.StructArray.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["lang_pred", "score"])
+        types = [pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64())]
+        columns = zip(*out) if out else [[]] * len(OUT)
+        return pa.StructArray.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], OUT)
 
-    judged = docs.drop("lang_pred", "score").withColumn("_judged", predict(F.col(text_col)))
-    return judged.withColumns({"lang_pred": F.col("_judged.lang_pred"), "score": F.col("_judged.score")}).drop("_judged")
+    judged = docs.drop(*OUT).withColumn("_judged", predict(F.col(text_col)))
+    return judged.withColumns({c: F.col(f"_judged.{c}") for c in OUT}).drop("_judged")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs.select("doc_id", "text", "lang"))
-    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), *OUT)

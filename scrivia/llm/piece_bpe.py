@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from scrivia.llm.common import table
+from scrivia.llm.common import hold_cache, table
 from scrivia.llm.pretokens import PIECE_MODEL, SPACE, piece_segments, splits_at_spaces
 
 #: Pre-tokens that a worker keeps; longer ones are not kept.
@@ -326,6 +326,7 @@ def encode_documents(docs: DataFrame, text_col: str = "text", ids_col: str = "id
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
+        hold_cache("piece_bpe", piece_bpe.cache_clear)
         return piece_bpe(model).encode(texts)
 
     return docs.withColumn(ids_col, encode(F.col(text_col)))

@@ -15,7 +15,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivia.llm.common import table
+from scrivia.llm.common import hold_cache, table
 from scrivia.llm.pretokens import PIECE_MODEL, piece_segments, splits_at_spaces
 
 #: Documents that the frequent table is made from, their characters at most, and the table's entries.
@@ -90,6 +90,7 @@ def count_tokens(docs: DataFrame, text_col: str = "text", model: str = PIECE_MOD
 
     @F.arrow_udf("long")
     def n_tokens(texts: pa.Array) -> pa.Array:
+        hold_cache("token_count", _workers.clear)
         key = (model, len(shared.value), hash(shared.value))
         if key not in _workers:
             _workers.clear()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scrivia.llm.common import stash_path, table
+from scrivia.llm.common import hold_cache, stash, stash_path, table
 from scrivia.llm.pretokens import WORD_MODEL
 
 END_ID = 1
@@ -26,6 +26,8 @@ PART = "<|startoftext|>"
 #: Words that a worker keeps; longer ones are not kept.
 CACHED = 800_000
 LONGEST_KEPT = 64
+#: Files whose sums are broadcast (16 MB).
+MAX_BROADCAST_FILES = 1_000_000
 #: Texts whose new words are encoded together.
 TOGETHER = 256
 ORC_OPTIONS = {
@@ -67,6 +69,16 @@ class WordIds(dict):
         self.model.no_truncation()
         self.model.no_padding()
         self.part = self.model.token_to_id(PART)
+        self._assert_words_stand_alone()
+
+    def _assert_words_stand_alone(self) -> None:
+        """`words_of` and `learn` hold for a tokenizer that drops blanks, lower-cases, and parts a letter from a sign."""
+        of = lambda text: self.model.encode(text, add_special_tokens=False).ids
+        assert self.part is not None and of(PART.join(["ab", "cd"])) == of("ab") + [self.part] + of("cd")
+        for text in ("The Cat sat. On it!", "Ünder  the\nÉlm, no: yes? a;", "x1. 2y, z"):
+            assert of(text) == of(text.lower()) == [i for w in text.replace("\n", " ").split(" ") for i in of(w)]
+        for letter in ("a", "Z", "é", "\xff"):
+            assert all(of(letter + sign) == of(letter) + of(sign) for sign in ".,;:!?")
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """Encode new words; those that are too long to keep are returned."""
@@ -131,6 +143,7 @@ def write_token_files(
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
+        hold_cache("token_files", word_ids.cache_clear)
         return word_ids(model).encode(texts)
 
     dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")).withColumn(
@@ -147,18 +160,20 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_starts(files: DataFrame) -> DataFrame:
-    """position and start: the tokens of all rows before each one. Running sums stay within a file, whose size is
-    bounded; files are summed by their footers' columns position and n_tokens alone."""
-    numbered = files.select("position", "n_tokens").withColumn("_file", F.shiftrightunsigned("position", POSITION_BITS))
+    """The rows of `files` (position, n_tokens and any others) with start: the tokens of all rows before each one.
+
+    Running sums stay within a file, whose size is bounded. The sums of files, one row a file (16 bytes), are broadcast
+    up to MAX_BROADCAST_FILES and joined by a shuffle beyond.
+    """
+    numbered = files.withColumn("_file", F.shiftrightunsigned("position", POSITION_BITS))
     per_file = numbered.groupBy("_file").agg(F.sum("n_tokens").alias("_tokens"))
-    ahead = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    bases = per_file.select("_file", F.coalesce(F.sum("_tokens").over(ahead), F.lit(0)).alias("_base"))
+    ahead = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    bases = stash(per_file.select("_file", F.coalesce(F.sum("_tokens").over(ahead), F.lit(0)).alias("_base")), "token-bases")
+    if bases.count() <= MAX_BROADCAST_FILES:
+        bases = F.broadcast(bases)
     within = Window.partitionBy("_file").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        numbered.withColumn("_before", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-        .join(F.broadcast(bases), "_file")  # one row a file
-        .select("position", (F.col("_base") + F.col("_before")).alias("start"))
-    )
+    placed = numbered.withColumn("_before", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(bases, "_file")
+    return placed.withColumn("start", F.col("_base") + F.col("_before")).drop("_file", "_base", "_before")
 
 
 def checksums(ids: pa.Array) -> pa.Array:
@@ -174,4 +189,4 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = read_token_files(spark, path)
     ids_checksum = F.arrow_udf(checksums, "long")
     sums = files.select("doc_id", "position", F.col("n_tokens").cast("long"), ids_checksum("ids").alias("ids_crc32"))
-    return sums.join(token_starts(files), "position").select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_starts(sums).select("doc_id", "start", "n_tokens", "ids_crc32")

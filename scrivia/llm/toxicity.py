@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivia.llm.common import held_out, stash, table
+from scrivia.llm.common import held_out, hold_cache, stash, table
 
 #: What a written sign can stand for, in the channel (fixed values).
 READINGS = {
@@ -409,6 +409,7 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> Da
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         model = shared.value
+        hold_cache("toxicity", _workers.clear)
         key = hash((model.trigrams, tuple(model.lexicon.items()), model.intercept))
         if key not in _workers:
             _workers.clear()

@@ -1,5 +1,7 @@
 """Jaccard join, toxicity, language identification, pipeline."""
 
+import itertools
+import math
 import re
 
 import numpy as np
@@ -153,8 +155,51 @@ def test_language_of_odd_texts(spark, documents, odd_documents):
 def test_mixture_finds_two_languages():
     model = langid.Mixture(["a", "b"], np.zeros((2, langid.BUCKETS), np.float32).tobytes())
     logs = np.array([[-1.0, -30.0]] * 6 + [[-30.0, -1.0]] * 4)
-    lang, share = model.infer(logs, np.ones(10))
-    assert lang == "a" and share == pytest.approx(0.6, abs=0.01)
+    found = model.infer(logs, np.ones(10))
+    assert found.lang == "a" and found.score == pytest.approx(0.6, abs=0.01)
+    assert found.langs == ["a", "b"] and found.shares == pytest.approx([0.6, 0.4], abs=0.01)
+
+
+def best_set(logs, times, langs):
+    """By plain loops: proportions of every set of languages, and the set with the best penalised likelihood."""
+    every = []
+    for size in range(1, len(langs) + 1):
+        for members in itertools.combinations(range(len(langs)), size):
+            share = {m: 1 / size for m in members}
+            for _ in range(300):
+                new = dict.fromkeys(members, 0.0)
+                for row, n in zip(logs, times):
+                    total = sum(share[m] * math.exp(row[m]) for m in members)
+                    for m in members:
+                        new[m] += n * share[m] * math.exp(row[m]) / total / sum(times)
+                share = new
+            value = sum(n * math.log(sum(share[m] * math.exp(row[m]) for m in members)) for row, n in zip(logs, times))
+            every.append((value - langid.PENALTY * math.log(sum(times) + 1) * (size - 1), {langs[m]: s for m, s in share.items()}))
+    return max(every, key=lambda e: e[0])
+
+
+def test_mixture_equals_the_best_of_all_sets():
+    rng, langs = np.random.default_rng(11), ["a", "b", "c"]
+    model = langid.Mixture(langs, np.zeros((3, langid.BUCKETS), np.float32).tobytes())
+    sizes = set()
+    for true in ([1, 0, 0], [0.7, 0.3, 0], [0.4, 0.3, 0.3], [0, 0.05, 0.95], [0.5, 0, 0.5]) * 3:
+        own = rng.choice(3, 60, p=true)
+        logs = rng.normal(-14, 2, (60, 3))
+        logs[np.arange(60), own] += 7
+        times = rng.integers(1, 4, 60).astype(float)
+        found = model.infer(logs, times)
+        want = best_set(logs.tolist(), times.tolist(), langs)[1]
+        assert set(found.langs) == set(want)
+        assert found.shares == pytest.approx([want[x] for x in found.langs], abs=0.02) and found.lang == max(want, key=want.get)
+        sizes.add(len(want))
+    assert sizes == {1, 2, 3}
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    rows = [(i, "some words here", f"l{i % 3}") for i in range(30)]
+    with pytest.raises(ValueError, match="more than 2"):
+        langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
 
 
 def test_pipeline_stages(spark, sf_dir, documents):
