@@ -27,6 +27,8 @@ PLACE_TOGETHER = 4096
 SLOTS_TOGETHER = 1_000_000
 #: Up to so many sources, their table is broadcast.
 MAX_BROADCAST_SOURCES = 50_000
+#: Up to so many repeated rows, their keys are broadcast (80 bytes each).
+MAX_BROADCAST_REPEATED = 200_000
 #: Multipliers of the permutations: primes, of which a source uses one that does not divide its number of blocks.
 PRIMES = (1000003, 1000033, 1000037, 1000039, 1000081, 1000099, 1000117, 1000121)
 
@@ -74,9 +76,9 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     ).drop("_level")
 
 
-def _placed(docs: DataFrame, id_col: str, source_col: str, size_col: str, then: list[str]) -> DataFrame:
-    """Each document's first word's number within its source, in the order of the checksums of the ids, and of `then`
-    where ids and sizes are equal.
+def _placed(docs: DataFrame, source_col: str, size_col: str, then: list[str]) -> DataFrame:
+    """Each document's first word's number within its source, in the order of the checksums of the ids (of the texts
+    where an id is null), and of `then` where ids and sizes are equal.
 
     A running sum over a whole source would put it into one task; so sums run within ranges of the checksum, and
     ranges start where those before end.
@@ -85,9 +87,7 @@ def _placed(docs: DataFrame, id_col: str, source_col: str, size_col: str, then:
     digits = 0
     while n > PLACE_TOGETHER * 16**digits:
         digits += 1
-    keyed = docs.withColumn("_key", F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))).withColumn(
-        "_range", F.substring("_key", 1, digits) if digits else F.lit("")
-    )
+    keyed = docs.withColumn("_range", F.substring("_key", 1, digits) if digits else F.lit(""))
     starts = keyed.groupBy(source_col, "_range").agg(F.sum(size_col).alias("_words")).withColumn(
         "_start",
         F.coalesce(
@@ -95,7 +95,7 @@ def _placed(docs: DataFrame, id_col: str, source_col: str, size_col: str, then:
             F.lit(0),
         ),
     )
-    within = Window.partitionBy(source_col, "_range").orderBy("_key", id_col, size_col, *then)
+    within = Window.partitionBy(source_col, "_range").orderBy("_key", "doc_id", size_col, *then)
     placed = keyed.withColumns(
         {
             "_ahead": F.coalesce(F.sum(size_col).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
@@ -124,6 +124,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             word_count(F.col(text_col)).alias("size"),
+            F.md5(F.coalesce(F.col(id_col).cast("string"), text_key(F.col(text_col))).cast("binary")).alias("_key"),
             *[text_key(F.col(text_col)).alias(c) for c in then],
         ),
         "mix-sizes",
@@ -185,7 +186,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = sources.select(F.col("source").alias("_source"), "source_no", "source_size", "target")
     if totals["n"] <= MAX_BROADCAST_SOURCES:
         known = F.broadcast(known)
-    placed = _placed(sized, "doc_id", "source", "size", then).join(known, F.col("source").eqNullSafe(F.col("_source")))
+    placed = _placed(sized, "source", "size", then).join(known, F.col("source").eqNullSafe(F.col("_source")))
     end = F.col("_offset") + F.col("size")
     pieces = (
         placed.select(
@@ -224,50 +225,52 @@ def _permuted(index: Column, n: Column, source_no: Column, epoch: Column) -> Col
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents: a document comes once for each epoch that takes of it, with the words of the blocks
-    taken in that epoch (its whole text, unchanged, if all were). Returns the columns of `docs`.
+    taken in that epoch (its whole text, unchanged, if all were). Returns the columns of `docs`, whatever their names.
 
-    Documents of which nothing is taken go. A null or empty text has no words and goes as well. An id may be null, and
-    may stand on several texts: a row is known by id, source, checksum of the text, and its number among equal ones.
+    Documents of which nothing is taken go. A null or empty text has no words and goes as well; an empty table stays
+    empty. An id may be null, and may stand on several texts: a row is known by id, source, checksum of the text, and
+    its number among equal ones. n_chars, if there is one, becomes the length of the text that is taken.
     """
     mix = mix_sources(docs, by_text=True)
     per_copy = (
         mix.pieces.where("times > 0")
-        .select("doc_id", "source", "text_key", "size", "_range", "_nth", "source_no", "_from", "_to", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_copy"))
-        .groupBy("source_no", "_range", "_nth", "_copy")
+        .select("doc_id", "source", "text_key", "size", "_range", "_nth", "source_no", "_from", "_to", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy"))
+        .groupBy("source_no", "_range", "_nth", "copy")
         .agg(
-            F.any_value("doc_id").alias("_id"),
-            F.any_value("source").alias("_source"),
-            F.any_value("text_key").alias("_text_key"),
-            F.any_value("size").alias("_size"),
-            F.sort_array(F.collect_list(F.struct("_from", "_to"))).alias("_parts"),
+            F.any_value("doc_id").alias("id"),
+            F.any_value("source").alias("of_source"),
+            F.any_value("text_key").alias("of_text"),
+            F.any_value("size").alias("size"),
+            F.sort_array(F.collect_list(F.struct("_from", "_to"))).alias("parts"),
         )
     )
     # equal rows stand one after another in their source
-    copies = per_copy.withColumn("_n", F.col("_nth") - F.min("_nth").over(Window.partitionBy("source_no", "_id", "_text_key")) + 1)
+    first = F.min("_nth").over(Window.partitionBy("source_no", "id", "of_text"))
+    copies = per_copy.select("id", "of_source", "of_text", "size", "parts", (F.col("_nth") - first + 1).alias("number_taken"))
+    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", text_key(F.col("text")).alias("key"))
+    row = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of_source")) & (F.col("key") == F.col("of_text"))
     # only rows that repeat are sorted for their number; the others' texts move once, to meet their copies
-    row = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (text_key(F.col("text")) == F.col("_text_key"))
     repeated = stash(
-        docs.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), text_key(F.col("text")).alias("_text_key"))
-        .agg(F.count("*").alias("_times")).where("_times > 1").drop("_times"),
+        docs.groupBy(F.col("doc_id").alias("id"), F.col("source").alias("of_source"), text_key(F.col("text")).alias("of_text"))
+        .agg(F.count("*").alias("times")).where("times > 1").drop("times"),
         "mix-repeated",
     )
-    nth = Window.partitionBy("doc_id", "source", text_key(F.col("text"))).orderBy(F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).cast("binary")))
-    numbered = docs.join(repeated, row, "left_anti").withColumn("_number", F.lit(1)).unionByName(
-        docs.join(repeated, row, "left_semi").withColumn("_number", F.row_number().over(nth))
-    )
-    whole = F.aggregate("_parts", F.lit(0).cast("long"), lambda n, p: n + p["_to"] - p["_from"]) == F.col("_size")
-    spaced = F.regexp_extract_all(F.col("text"), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
+    numbered = carried.withColumn("number", F.lit(1))
+    if n_repeated := repeated.count():
+        if n_repeated <= MAX_BROADCAST_REPEATED:
+            repeated = F.broadcast(repeated)
+        nth = Window.partitionBy("doc_id", "source", "key").orderBy(F.md5(F.to_json("row").cast("binary")))
+        again = carried.join(repeated, row, "left_semi").withColumn("number", F.row_number().over(nth))
+        numbered = numbered.join(repeated, row, "left_anti").unionByName(again)
+    met = numbered.join(copies, row & (F.col("number") == F.col("number_taken"))).select("row", "size", "parts")
+    whole = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["_to"] - p["_from"]) == F.col("size")
+    spaced = F.regexp_extract_all(F.col("row.text"), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
     cut = F.array_join(
-        F.transform("_parts", lambda p: F.array_join(F.slice(F.col("_words"), (p["_from"] + 1).cast("int"), (p["_to"] - p["_from"]).cast("int")), "")), ""
-    )
-    met = row & (F.col("_number") == F.col("_n"))
-    joined = numbered.join(copies.select("_id", "_source", "_text_key", "_n", "_size", "_parts"), met).withColumn("_whole", whole)
-    out = joined.withColumn("_words", F.when(~F.col("_whole"), spaced)).withColumn(
-        "text", F.when(F.col("_whole"), F.col("text")).otherwise(cut)
+        F.transform("parts", lambda p: F.array_join(F.slice(F.col("words"), (p["_from"] + 1).cast("int"), (p["_to"] - p["_from"]).cast("int")), "")), ""
     )
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = met.withColumn("words", F.when(~whole, spaced)).withColumn("taken", F.when(F.col("words").isNull(), F.col("row.text")).otherwise(cut))
+    changed = {"text": F.col("taken"), "n_chars": F.length("taken").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return out.select(*[changed[c].alias(c) if c in changed else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,7 +279,8 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS key FROM documents
 ), totals AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), ranked AS (
@@ -332,8 +336,8 @@ WITH sized AS (
          count(*) AS times FROM fits GROUP BY ALL
 ), placed AS (
   SELECT d.doc_id, d.size, t.source_no, t.source_size, t.target,
-         row_number() OVER (PARTITION BY t.source_no ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id, d.size) AS nth,
-         coalesce(sum(d.size) OVER (PARTITION BY t.source_no ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id, d.size
+         row_number() OVER (PARTITION BY t.source_no ORDER BY d.key, d.doc_id, d.size) AS nth,
+         coalesce(sum(d.size) OVER (PARTITION BY t.source_no ORDER BY d.key, d.doc_id, d.size
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
 ), pieces AS (

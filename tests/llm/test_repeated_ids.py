@@ -2,7 +2,7 @@
 
 from collections import Counter
 
-from scrivia.llm import jaccard_join, mixing
+from scrivia.llm import jaccard_join, mixing, quality
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -42,6 +42,17 @@ def test_mixed_documents_with_null_and_repeated_ids(spark):
     assert sum(got.values()) == taken
 
 
+def test_columns_of_any_name_are_carried(spark):
+    names = ["source_no", "_n", "_size", "_nth", "row", "key", "number", "copy", "parts", "size", "times", "id", "own", "label", "digest", "taken", "words", "kept"]
+    rows = [(i % 9 if i % 5 else None, text(f"t{i % 12}_", 70), "en", f"s{i % 3}", 1, *[f"{n}{i}" for n in names]) for i in range(30)]
+    df = spark.createDataFrame(rows, f"{COLUMNS}, " + ", ".join(f"{n} string" for n in names))
+    by_row = {tuple(r)[5:] for r in df.collect()}
+    for stage in (mixing.mixed_documents, jaccard_join.deduplicated, quality.kept_documents):
+        got = stage(df)
+        found = got.collect()
+        assert got.columns == df.columns and found and {tuple(r)[5:] for r in found} <= by_row, stage
+
+
 def mixing_key(text):
     import hashlib
 
