@@ -76,7 +76,7 @@ def find_collections(wanted: DataFrame, collections: DataFrame) -> DataFrame:
     """wanted -> collection_id: by id as it is written, else by name whatever its case, else the oldest collection."""
     by = lambda how, rank: collections.select(how.alias("_k"), F.lit(rank).alias("_rank"), "collection_id", "created_at")
     keys = by(F.col("collection_id"), 1).unionByName(by(F.lower("name"), 2))
-    asked = wanted.select("wanted", F.inline(F.array(F.struct(F.col("wanted").alias("_k"), F.lit(1).alias("_rank")), F.struct(F.lower("wanted"), F.lit(2)))))
+    asked = wanted.select("wanted", F.inline(F.array(F.struct(F.col("wanted").alias("_k"), F.lit(1).alias("_rank")), F.struct(F.lower("wanted").alias("_k"), F.lit(2).alias("_rank")))))
     met = asked.join(keys, ["_k", "_rank"], "left").withColumn("_rank", F.when(F.col("collection_id").isNotNull(), F.col("_rank")))
     order = F.row_number().over(Window.partitionBy("wanted").orderBy(F.col("_rank").asc_nulls_last(), "created_at", "collection_id"))
     found = met.withColumn("_n", order).where("_n = 1")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scrivia.functions import text as T
 from scrivia.operators import answering as A
+from scrivia.operators import chunking as C
+from scrivia.operators import evaluation as E
 from scrivia.operators import index as I
+from scrivia.operators.agent import ask
+from scrivia.operators.lineage import written
 from scrivia.plans.fixtures import SQL_CHUNKS, chunks, sql_keywords, sql_sentences, sql_tokens, table
 
 
@@ -19,32 +24,42 @@ def _questions(spark, sf):
 
 
 def _index(spark, sf):
-    return I.postings(_corpus(spark, sf))
+    """The stored index of the corpus; the number of its documents is its version."""
+    corpus = _corpus(spark, sf)
+    return I.index_of_version(spark, f"documents of {sf}", corpus.count(), corpus)
 
 
 def bm25(spark, sf):
-    return I.bm25(_questions(spark, sf), _index(spark, sf)).select("question_id", "chunk_id", F.round("score", 4).alias("score"))
+    return I.bm25(_questions(spark, sf), _index(spark, sf)).select("question_id", "chunk_id", "score")
+
+
+def refreshed(spark, sf):
+    """Statistics after the labelled documents came to an index of the others: only they are cut into terms."""
+    labelled = table(spark, sf, "labels").select(F.col("doc_id").alias("chunk_id")).distinct()
+    before = I.lexical_index(_corpus(spark, sf).join(labelled, "chunk_id", "left_anti"))
+    index = I.refreshed_index(before, _corpus(spark, sf).join(labelled, "chunk_id", "left_semi"))
+    return index.weights.select("term", "df", F.round("idf", 6).alias("idf"), F.round("avg_length", 6).alias("avg_length"))
 
 
 def bm25_filtered(spark, sf):
     """Filters narrow the results; the statistics stay those of the whole corpus."""
-    allowed = _corpus(spark, sf).where("lang = 'en' AND chunk_id % 2 = 0")
-    return I.bm25(_questions(spark, sf), _index(spark, sf), 6, allowed=allowed).select("question_id", "chunk_id", F.round("score", 4).alias("score"))
+    allowed = _corpus(spark, sf).where("lang = 'en'")
+    return I.bm25(_questions(spark, sf), _index(spark, sf), 6, allowed=allowed).select("question_id", "chunk_id", "score")
 
 
 def corpus_statistics(spark, sf):
-    return I.term_weights(_index(spark, sf)).select("term", "df", F.round("idf", 6).alias("idf"), F.round("avg_length", 6).alias("avg_length"))
+    return _index(spark, sf).weights.select("term", "df", F.round("idf", 6).alias("idf"), F.round("avg_length", 6).alias("avg_length"))
 
 
 def expected(spark, sf):
-    return I.containing(_questions(spark, sf), _corpus(spark, sf), _index(spark, sf))
+    return I.containing(_questions(spark, sf), _corpus(spark, sf))
 
 
 def evaluated(spark, sf):
     """Hit and reciprocal rank of every benchmark question in its BM25 ranking."""
     index, items = _index(spark, sf), _questions(spark, sf)
     ranked = I.bm25(items, index).select("question_id", F.col("chunk_id").alias("id"), "rank")
-    gold = I.containing(items, _corpus(spark, sf), index).withColumnRenamed("chunk_id", "id")
+    gold = I.containing(items, _corpus(spark, sf)).withColumnRenamed("chunk_id", "id")
     return A.first_hits(items, ranked, gold)
 
 
@@ -97,7 +112,7 @@ def hybrid(spark, sf):
 
 
 def _edges(spark, sf):
-    return _corpus(spark, sf).select(F.explode(T.proper_phrases(F.col("text"))).alias("entity"), F.col("chunk_id").alias("id")).distinct()
+    return I.entity_edges(_corpus(spark, sf))
 
 
 def entity_edges(spark, sf):
@@ -127,21 +142,23 @@ def external(spark, sf):
 
 
 def expanded(spark, sf):
-    c = _contexts(spark, sf, 12).withColumn("parent_id", F.col("id") % 40)
-    pages = _corpus(spark, sf).select((F.col("chunk_id")).alias("parent_id"), "text").where("parent_id < 40")
-    e = I.expand_parents(c.withColumn("text", F.substring("text", 1, 300)), pages)
+    """Documents of one source stand on one page, the text of the source's first document."""
+    whole = table(spark, sf, "documents")
+    c = _contexts(spark, sf, 12).join(whole.select(F.col("doc_id").alias("id"), F.col("source").alias("parent_id")), "id")
+    pages = whole.groupBy(F.col("source").alias("parent_id")).agg(F.min_by("text", "doc_id").alias("text"))
+    e = I.expand_parents(c, pages)
     return e.select("question_id", "id", "n", "modality", F.array_join(F.col("merged_chunks").cast("array<string>"), ",").alias("merged"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 def filtered(spark, sf):
-    c = chunks(spark, sf)
-    return I.filter_rows(I.filter_rows(c, ["table", "image"], []), None, [f"doc_{i}" for i in range(0, 500, 3)]).select("chunk_id", "modality")
+    """Tables and images; then those of the documents that a benchmark question stands in."""
+    named = expected(spark, sf).select(F.concat(F.lit("doc_"), F.col("chunk_id").cast("string")).alias("document_id"))
+    shown = I.filter_rows(I.filter_rows(chunks(spark, sf), ["table", "image"], []), None, named)
+    return shown.select("chunk_id", "modality")
 
 
 def rewritten(spark, sf):
     c = table(spark, sf, "conversations").where("role = 'user'")
-    from pyspark.sql import Window
-
     last = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     feedback = F.when(F.col("conv_id") % 3 == 0, "more detail")
     return c.select("conv_id", "turn", A.rewrite(F.col("text"), last, feedback).alias("standalone"))
@@ -153,12 +170,90 @@ def graded(spark, sf):
     return g.withColumn("useful_sources", F.array_join(F.col("useful_sources").cast("array<string>"), ","))
 
 
+_collections: dict = {}
+
+
+def _collection(spark, sf, chunking="recursive"):
+    """Documents cut into sections, and these into chunks; indexed once a session."""
+    key = (spark.sparkContext.applicationId, sf, chunking)
+    if key not in _collections:
+        d = table(spark, sf, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("document_id"), F.concat_ws("_", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("filename"), "text")
+        pages = written(C.sections(d), "pages")
+        cut = {"recursive": C.recursive_chunks, "semantic": C.semantic_chunks}[chunking](pages.select("document_id", "page", "text"))
+        cut = cut.select("document_id", "page", "seq", "text")
+        records = C.chunk_records(cut, cut.where("false"), cut.where("false"))
+        c = written(records.join(d.select("document_id", "filename", F.col("filename").alias("title")), "document_id"), "chunks")
+        parents = pages.select(F.concat("document_id", F.lit(":p"), F.col("page").cast("string")).alias("parent_id"), "text")
+        _collections[key] = I.collection(c, parents)
+    return _collections[key]
+
+
+def _public(contexts):
+    return contexts.select(
+        "question_id", "n", "id", "document_id", "page", "modality", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.size("merged_chunks").alias("n_merged"),
+        "fused", "dense_rank", "dense_sim", "bm25_rank", "graph", "rerank",
+    )
+
+
+def retrieved(spark, sf):
+    """The whole retrieval of every benchmark question, reranked and expanded to pages, with its signals."""
+    return _public(I.retrieve(_questions(spark, sf), _collection(spark, sf), I.Options(rerank="lexical"))[0])
+
+
+def retrieved_simply(spark, sf):
+    """The shortlist by rank fusion alone, without reranking or pages."""
+    return _public(I.retrieve(_questions(spark, sf), _collection(spark, sf), I.Options(parent_expansion=False))[0])
+
+
+def retrieval_trace(spark, sf):
+    return I.retrieve(_questions(spark, sf), _collection(spark, sf), I.Options(rerank="lexical"))[1]
+
+
 def agent_rounds(spark, sf):
     """Retrieve, grade, and search again with what is missing, for questions whose evidence does not suffice."""
-    from scrivia.operators.agent import ask
+    out = ask(_questions(spark, sf), _collection(spark, sf), max_retries=1)
+    return out.select("question_id", "attempts", "verdict.sufficient", F.length("answer").alias("answer_length"), F.size(F.filter("sources", lambda s: s["cited"])).alias("n_cited"))
 
-    out = ask(_questions(spark, sf), _corpus(spark, sf).withColumnRenamed("lang", "title"), _index(spark, sf), max_retries=1)
-    return out.select("question_id", "attempts", "sufficient", F.length("answer").alias("answer_length"), F.size("cited").alias("n_cited"))
+
+def asked(spark, sf):
+    """The full record of every first question of a conversation; a turn that refers back takes words from the one before."""
+    c = table(spark, sf, "conversations").where("role = 'user'")
+    last = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    q = c.select(F.concat_ws(":", "conv_id", "turn").alias("question_id"), F.col("text").alias("question"), last.alias("last_user"))
+    out = ask(q, _collection(spark, sf), I.Options(rerank="lexical"), "simple")
+    return out.select("question_id", "standalone_question", "answer", "status", "mode", "options.top_k", "verdict.relevant", "verdict.sufficient", F.size("sources").alias("n_sources"), F.size(F.filter("sources", lambda s: s["cited"])).alias("n_cited"), F.col("trace")[0]["candidates"].alias("candidates"), "used_web", "input_tokens", "output_tokens", "cost_usd")
+
+
+_runs: dict = {}
+
+
+def _run_results(spark, sf):
+    """Two chunkings of the same documents, two presets each, over the benchmark questions; once a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _runs:
+        items, gold = _questions(spark, sf), expected(spark, sf)
+        named = gold.groupBy("question_id").agg(F.collect_set(F.concat(F.lit("doc_"), F.col("chunk_id").cast("string"))).alias("expected"))
+        first = F.get(T.sentences(F.col("question")), 0)
+        golden = written(items.join(named, "question_id", "left").withColumn("reference_answer", first), "golden")
+        _runs[key] = E.run(golden, {c: _collection(spark, sf, c) for c in ("recursive", "semantic")}, ["dense", "hybrid+rerank"])
+    return _runs[key]
+
+
+def evaluation_results(spark, sf):
+    return _run_results(spark, sf).select("config", "question_id", "hit", "rr", "faithfulness", "relevance", "correctness", "cost_usd", "failed")
+
+
+def evaluation_summary(spark, sf):
+    """The run's summary; its latency differs from run to run and is left out."""
+    return A.summarize(_run_results(spark, sf)).drop("latency_ms")
+
+
+def evaluation_report(spark, sf):
+    return A.report_lines(A.summarize(_run_results(spark, sf)))
+
+
+def evaluation_best(spark, sf):
+    return A.best_values(A.summarize(_run_results(spark, sf)), {"hit": True, "rr": True, "faithfulness": True, "cost_usd": False})
 
 
 def answers(spark, sf):
@@ -271,8 +366,8 @@ _CONTEXTS = f"ctx AS (SELECT question_id, question, n, doc_id, d.text, d.source
 _KEYS = sql_keywords("question")
 
 QUERIES = {
-    "r02_bm25": (bm25, f"WITH {_BM25}, {_ranked(24)} SELECT question_id, doc_id AS chunk_id, round(score, 4) AS score FROM ranked"),
-    "r02_flt01_bm25_filtered": (bm25_filtered, f"WITH {_BM25}, {_ranked(6, chr(40) + 'SELECT lang = ' + chr(39) + 'en' + chr(39) + ' FROM t WHERE t.doc_id = s.doc_id) AND doc_id % 2 = 0')} SELECT question_id, doc_id AS chunk_id, round(score, 4) AS score FROM ranked"),
+    "r02_bm25": (bm25, f"WITH {_BM25}, {_ranked(24)} SELECT question_id, doc_id AS chunk_id, score FROM ranked"),
+    "r02_flt01_bm25_filtered": (bm25_filtered, f"""WITH {_BM25}, {_ranked(6, "(SELECT lang = 'en' FROM t WHERE t.doc_id = s.doc_id)")} SELECT question_id, doc_id AS chunk_id, score FROM ranked"""),
     "ag17_statistics": (corpus_statistics, f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf, round(avgdl, 6) AS avg_length FROM w"),
     "jn12_expected": (expected, "SELECT item_id AS question_id, doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)"),
     "ev03_hit_and_rr": (
@@ -310,7 +405,10 @@ QUERIES = {
         SELECT question_id, doc_id AS id, rerank, CAST(row_number() OVER (PARTITION BY question_id ORDER BY rerank DESC, score DESC, doc_id) AS INTEGER) AS n FROM m""",
     ),
     "r08_parent_expansion": (expanded, None),
-    "flt01_filters": (filtered, f"WITH {SQL_CHUNKS} SELECT chunk_id, modality FROM chunks WHERE modality IN ('table', 'image') AND doc_id < 500 AND doc_id % 3 = 0"),
+    "flt01_filters": (
+        filtered,
+        f"WITH {SQL_CHUNKS} SELECT chunk_id, modality FROM chunks WHERE modality IN ('table', 'image') AND doc_id IN (SELECT d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))",
+    ),
     "q01_rewrite": (
         rewritten,
         f"""WITH l AS (SELECT conv_id, turn, text, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS last FROM conversations WHERE role = 'user'),
@@ -320,6 +418,15 @@ QUERIES = {
     ),
     "q02_t24_st04_grade": (graded, None),
     "q03_q07_agent": (agent_rounds, None),
+    "r03_index_refresh": (refreshed, f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf, round(avgdl, 6) AS avg_length FROM w"),
+    "r11_retrieve": (retrieved, None),
+    "r11_tk02_shortlist": (retrieved_simply, None),
+    "r10_retrieve_trace": (retrieval_trace, None),
+    "q07_ask": (asked, None),
+    "ev02_run_results": (evaluation_results, None),
+    "ev06_run_summary": (evaluation_summary, None),
+    "snk04_run_report": (evaluation_report, None),
+    "ag16_run_best": (evaluation_best, None),
     "q04_answers": (
         answers,
         f"""WITH {_BM25}, {_ranked(6)}, {_CONTEXTS}, k AS (SELECT question_id, n, list_distinct({_KEYS}) AS qs, {sql_sentences('text')} AS ss FROM ctx),
