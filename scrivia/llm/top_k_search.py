@@ -2,8 +2,9 @@
 
 A vector is cut into 1, 4 and 16 segments; a segment of n components with means a, b and deviations s, t adds at
 most n * (a * b + s * t) to an inner product (equally, at least n * ((a - b)^2 + (s - t)^2) to a squared distance).
-Bounds run from coarse to fine over the vectors that are left, and exact products are computed for the survivors.
-Queries and candidates meet block by block.
+Every query comes with a threshold, its k-th best product within a bounded sample of the candidates, which no answer can
+be below. Queries and candidates meet block by block: bounds run from coarse to fine over the candidates that are left
+for any query of the block, and exact products are computed for the pairs that reach the threshold at every level.
 """
 
 from __future__ import annotations
@@ -21,8 +22,11 @@ SEGMENTS = (1, 4, 16)
 TOP_K = 20
 CANDIDATE_BLOCK = 8192
 QUERY_BLOCK = 512
-#: Candidates per query whose exact products set the first threshold, as a multiple of k.
-SEEDS = 4
+#: Candidates that set the thresholds (512 bytes each at 64 components), those of the smallest checksums. The sample
+#: bounds a broadcast and changes the cost alone.
+SAMPLE = 4096
+#: Pairs whose exact products are computed together.
+TOGETHER = 100_000
 
 
 def segment_statistics(vectors: np.ndarray, n_segments: int) -> np.ndarray:
@@ -38,34 +42,37 @@ def segment_statistics(vectors: np.ndarray, n_segments: int) -> np.ndarray:
     return np.stack([p[0] for p in parts] + [p[1] for p in parts], axis=1)
 
 
-def search_block(query_ids, queries, ids, vectors, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its k best of one block: ids and products, ties to the smaller id, the query's id left out."""
-    of_queries = [segment_statistics(queries, n) for n in SEGMENTS]
-    of_vectors = [segment_statistics(vectors, n) for n in SEGMENTS]
-    for i, (query_id, query) in enumerate(zip(query_ids, queries)):
-        bound = of_vectors[0] @ of_queries[0][i]
-        left = np.flatnonzero(ids != query_id)
-        threshold = -np.inf
-        n_seeds = SEEDS * k
-        if len(left) > n_seeds:
-            seeds = left[np.argpartition(-bound[left], n_seeds - 1)[:n_seeds]]
-            threshold = np.partition(vectors[seeds] @ query, -k)[-k]
-        for level in range(len(SEGMENTS)):
-            if level:
-                bound = of_vectors[level][left] @ of_queries[level][i]
-            else:
-                bound = bound[left]
-            left = left[bound >= threshold - 1e-6 * (1 + np.abs(bound))]
-            if level == 0 and len(left) > 8 * n_seeds:  # finer bounds find better seeds
-                finer = of_vectors[1][left] @ of_queries[1][i]
-                seeds = left[np.argpartition(-finer, n_seeds - 1)[:n_seeds]]
-                threshold = max(threshold, np.partition(vectors[seeds] @ query, -k)[-k])
-        product = vectors[left] @ query
-        if len(left) > k:
-            enough = product >= np.partition(product, -k)[-k]
-            left, product = left[enough], product[enough]
-        order = np.lexsort((ids[left], -product))[:k]
-        yield query_id, ids[left][order], product[order]
+def least_scores(query_ids, queries, ids, vectors, k: int) -> np.ndarray:
+    """Of each query its k-th largest product among these candidates, its own id left out; -inf if they are fewer."""
+    if len(ids) <= k:
+        return np.full(len(query_ids), -np.inf)
+    products = queries @ vectors.T
+    products[query_ids[:, None] == ids[None, :]] = -np.inf
+    return np.partition(products, -k, axis=1)[:, -k]
+
+
+def search_block(query_ids, queries, least, ids, vectors, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query ids, ids and products of the pairs of two blocks whose products reach the queries' thresholds, at most k of
+    each query, the best ones; ties go to the smaller id."""
+    columns = np.arange(len(ids))
+    mask = query_ids[:, None] != ids[None, :]
+    for n_segments in SEGMENTS:
+        bound = segment_statistics(queries, n_segments) @ segment_statistics(vectors[columns], n_segments).T
+        mask &= bound >= least[:, None] - 1e-6 * (1 + np.abs(bound))
+        left = mask.any(axis=0)
+        columns, mask = columns[left], mask[:, left]
+    at, which = np.nonzero(mask)
+    product = np.zeros(len(at))
+    for start in range(0, len(at), TOGETHER):
+        some = slice(start, start + TOGETHER)
+        product[some] = np.einsum("ij,ij->i", queries[at[some]], vectors[columns[which[some]]])
+    enough = product >= least[at]
+    at, found, product = at[enough], ids[columns[which[enough]]], product[enough]
+    order = np.lexsort((found, -product, at))
+    at, found, product = at[order], found[order], product[order]
+    place = np.arange(len(at)) - np.searchsorted(at, at)
+    best = place < k
+    return query_ids[at[best]], found[best], product[best]
 
 
 def _packed(df: DataFrame, block: str) -> DataFrame:
@@ -84,27 +91,44 @@ def _packed(df: DataFrame, block: str) -> DataFrame:
     return df.groupBy("dim", block).applyInPandas(pack, f"dim int, {block} int, ids binary, vectors binary")
 
 
+def _read(data: bytes, n: int, dim: int) -> np.ndarray:
+    return np.frombuffer(data, np.float64).reshape(n, dim)
+
+
 def _searched(k: int):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                read = lambda data: np.frombuffer(data, np.float64).reshape(-1, row.dim)
                 ids, query_ids = np.frombuffer(row.ids, np.int64), np.frombuffer(row.query_ids, np.int64)
-                vectors = read(row.vectors) if row.dim else np.zeros((len(ids), 0))
-                queries = read(row.queries) if row.dim else np.zeros((len(query_ids), 0))
-                found = list(search_block(query_ids, queries, ids, vectors, k))
-                if found:
-                    yield pd.DataFrame(
-                        {
-                            "query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64),
-                            "vec_id": np.concatenate([f[1] for f in found]).astype(np.int64),
-                            "score": np.rint(np.concatenate([f[2] for f in found])).astype(np.int64),
-                        }
-                    )
+                vectors, queries = _read(row.vectors, len(ids), row.dim), _read(row.queries, len(query_ids), row.dim)
+                own, found, product = search_block(query_ids, queries, np.frombuffer(row.least, np.float64), ids, vectors, k)
+                yield pd.DataFrame({"query_id": own, "vec_id": found, "score": np.rint(product).astype(np.int64)})
 
     return search
 
 
+def _with_thresholds(asked: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """Blocks of queries with the thresholds (least) that the sample of candidates gives them."""
+    sample = candidates.orderBy(F.xxhash64("id", "vector"), "id").limit(SAMPLE).toPandas()  # SAMPLE rows
+    of_dim = {
+        dim: (rows["id"].to_numpy(np.int64), np.array(rows["vector"].tolist(), np.float64).reshape(len(rows), dim)) for dim, rows in sample.groupby("dim")
+    }
+    shared = asked.sparkSession.sparkContext.broadcast(of_dim)
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples():
+                ids = np.frombuffer(row.ids, np.int64)
+                least = np.full(len(ids), -np.inf)
+                if row.dim in shared.value:
+                    least = least_scores(ids, _read(row.vectors, len(ids), row.dim), *shared.value[row.dim], k)
+                out.append(least.tobytes())
+            yield batch.assign(least=out)
+
+    return asked.mapInPandas(add, f"{asked.schema.simpleString()[7:-1].replace(':', ' ')}, least binary")
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = TOP_K) -> DataFrame:
     """query_id, rank, vec_id, score: for every row of `queries` its k largest inner products among `candidates`.
 
@@ -123,13 +147,14 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = TOP_K) -> DataFram
     n_query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     by_hash = lambda n: F.pmod(F.xxhash64("id", "vector"), F.lit(n)).cast("int")
     blocks = stash(_packed(candidates.withColumn("block", by_hash(n_blocks)), "block"), "top-k-candidates")
-    asked = stash(_packed(queries.withColumn("query_block", by_hash(n_query_blocks)), "query_block"), "top-k-queries")
+    packed = _packed(queries.withColumn("query_block", by_hash(n_query_blocks)), "query_block")
+    asked = stash(_with_thresholds(packed, candidates, k), "top-k-queries")
     spread = asked.select(
-        "dim", "query_block", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"),
+        "dim", "query_block", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"), "least",
         F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"),
     )
     cells = blocks.repartition(n_blocks, "dim", "block").join(spread.repartition(n_blocks, "dim", "block").hint("merge"), ["dim", "block"])
-    found = cells.select("dim", "ids", "vectors", "query_ids", "queries").mapInPandas(_searched(k), "query_id long, vec_id long, score long")
+    found = cells.select("dim", "ids", "vectors", "query_ids", "queries", "least").mapInPandas(_searched(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

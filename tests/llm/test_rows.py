@@ -1,6 +1,7 @@
 """URL filters, mixing, search, quality rules."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from scrivia.llm import mixing, quality, top_k_search, url_filter
@@ -61,7 +62,11 @@ def test_mixed_documents_hold_the_words_taken(spark, documents):
     assert mixed.select(mixing.word_count(mixed.text).alias("n")).agg({"n": "sum"}).first()[0] == want
 
 
-def test_search_equals_brute_force(spark):
+@pytest.mark.parametrize(("block", "sample"), [(8192, 4096), (64, 90), (64, 5)])
+def test_search_equals_brute_force(spark, monkeypatch, block, sample):
+    monkeypatch.setattr(top_k_search, "CANDIDATE_BLOCK", block)
+    monkeypatch.setattr(top_k_search, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(top_k_search, "SAMPLE", sample)
     rng = np.random.default_rng(3)
     vectors = np.floor(20 * rng.standard_normal((700, 12)))
     vectors[200:260] = vectors[0]  # ties
