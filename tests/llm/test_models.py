@@ -200,16 +200,3 @@ def test_too_many_languages_are_refused(spark, monkeypatch):
     rows = [(i, "some words here", f"l{i % 3}") for i in range(30)]
     with pytest.raises(ValueError, match="more than 2"):
         langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-
-
-def test_pipeline_stages(spark, sf_dir, documents):
-    import corpus_pipeline
-
-    docs, sizes = documents, [documents.count()]
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, sf_dir)
-        assert docs.columns == documents.columns, name
-        sizes.append(docs.count())
-    assert sizes[1] < sizes[0] and sizes[3] <= sizes[2] <= sizes[1]
-    last = corpus_pipeline.run(spark, sf_dir)
-    assert last.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and last.count() == sizes[-1]
