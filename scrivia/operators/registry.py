@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +36,22 @@ def new_documents(staged: DataFrame, registered: DataFrame, force: bool = False)
     return met.where(F.col("_old").isNull() | again).withColumn("document_id", F.coalesce("_old.document_id", "document_id")).drop("_old")
 
 
+def public_documents(documents: DataFrame) -> DataFrame:
+    """Documents as they are shown: without the path of their file."""
+    return documents.drop("path")
+
+
+def described(items: DataFrame, *columns: str) -> DataFrame:
+    """The arrays in `columns`, which belong together place by place, as one row for each place, numbered from 1.
+
+    Arrays of different lengths do not belong together: the job fails instead of filling up with nulls.
+    """
+    same = reduce(lambda a, b: a & b, [F.size(columns[0]) == F.size(c) for c in columns[1:]], F.lit(True))
+    checked = F.when(same, F.arrays_zip(*columns)).otherwise(F.raise_error(F.lit(f"{', '.join(columns)} differ in length")))
+    others = [c for c in items.columns if c not in columns]
+    return items.select(*others, F.posexplode(checked).alias("_i", "_z")).select(*others, (F.col("_i") + 1).alias("n"), *[F.col(f"_z.{c}").alias(c) for c in columns])
+
+
 def replace_content(stored: DataFrame, fresh: DataFrame, key: str = "document_id") -> DataFrame:
     """The stored rows of documents that did not change, and the fresh rows of those that did."""
     return stored.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)

@@ -74,6 +74,11 @@ def blocks(spark, sf):
     return corpus.row_blocks(p, "part", ["p_partkey", "p_name", "p_brand"], "p_partkey").select("block", "page", "caption", F.md5(F.col("markdown").cast("binary")).alias("md5"))
 
 
+def row_text(spark, sf):
+    t = corpus.row_text(table(spark, sf, "part"), "part.csv", ["p_partkey", "p_name", "p_brand"], "p_partkey")
+    return t.select("document_id", "page", F.md5(F.col("text").cast("binary")).alias("md5"))
+
+
 def web(spark, sf):
     p = corpus.web_pages(table(spark, sf, "pages"))
     return p.select("page_id", "title", F.length("text").cast("long").alias("n_chars"), F.size("tables").cast("long").alias("n_tables"), F.md5(F.col("text").cast("binary")).alias("md5"))
@@ -116,14 +121,15 @@ def _log_stream(spark, sf):
 
 
 def stream_usage(spark, sf):
-    """Days of the stream; update mode also tells the last, open one."""
-    rows = _run(streams.usage_windows(_log_stream(spark, sf)), "ss02_usage", "complete")
+    """Days of the stream, each told once when the watermark has passed its end; days that are open still are not told."""
+    rows = _run(streams.usage_windows(_log_stream(spark, sf)), "ss02_usage", "append")
     return rows.select(F.to_date("start").alias("day"), "queries", "cost_usd", "avg_latency_ms")
 
 
 def stream_sessions(spark, sf):
+    """Sessions that the watermark has closed, by user."""
     e = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    rows = _run(streams.sessions(e, "6 hours"), "ss05_sessions", "complete")
+    rows = _run(streams.sessions(e, "6 hours"), "ss05_sessions", "append")
     return rows.groupBy("user_id").agg(F.count("*").alias("n_sessions"), F.sum("n").alias("n_events"))
 
 
@@ -173,6 +179,11 @@ QUERIES = {
         f"""WITH {SQL_CHUNKS}, a AS (SELECT document_id, page, doc_id, 'text' AS modality, 0 AS k FROM chunks UNION ALL SELECT document_id, page, doc_id, 'table', 1 FROM chunks WHERE doc_id % 2 = 0 UNION ALL SELECT document_id, page, doc_id, 'image', 2 FROM chunks WHERE doc_id % 3 = 0),
         n AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY k) - 1 AS o FROM a) SELECT document_id || ':' || o AS chunk_id, document_id || ':p' || page AS parent_id, modality, CAST(o AS INTEGER) AS ordinal FROM n""",
     ),
+    "src08_row_text": (
+        row_text,
+        """WITH n AS (SELECT *, row_number() OVER (ORDER BY p_partkey) AS n FROM part)
+        SELECT 'part.csv' AS document_id, 1 AS page, md5('# part.csv' || chr(10) || chr(10) || '| p_partkey | p_name | p_brand |' || chr(10) || '|---|---|---|' || chr(10) || string_agg('| ' || p_partkey || ' | ' || p_name || ' | ' || p_brand || ' |', chr(10) ORDER BY n)) AS md5 FROM n WHERE n <= 400""",
+    ),
     "src08_row_blocks": (
         blocks,
         """WITH n AS (SELECT *, row_number() OVER (ORDER BY p_partkey) AS n FROM part), b AS (SELECT (n - 1) // 40 AS block, string_agg('| ' || p_partkey || ' | ' || p_name || ' | ' || p_brand || ' |', chr(10) ORDER BY n) AS r, count(*) AS c FROM n WHERE n < 2001 GROUP BY 1)
@@ -184,7 +195,7 @@ QUERIES = {
     "ss01_stream_ingest": (stream_ingest, "SELECT DISTINCT sha256(text) AS sha256 FROM documents"),
     "ss02_stream_usage": (
         stream_usage,
-        f"WITH {SQL_QUERIES_LOG} SELECT CAST(created_at AS DATE) AS day, count(*) AS queries, round(sum(cost_usd), 4) AS cost_usd, round(avg(latency_ms), 3) AS avg_latency_ms FROM queries GROUP BY 1",
+        f"WITH {SQL_QUERIES_LOG} SELECT CAST(created_at AS DATE) AS day, count(*) AS queries, round(sum(cost_usd), 4) AS cost_usd, round(avg(latency_ms), 3) AS avg_latency_ms FROM queries GROUP BY 1 HAVING CAST(CAST(created_at AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(created_at) - INTERVAL 1 HOUR FROM queries)",
     ),
     "ss03_stream_jobs": (stream_jobs, "SELECT user_id AS job_id, arg_max(event_type, event_id) AS stage, arg_max(value, event_id) AS progress FROM events GROUP BY 1"),
     "ss04_stream_budget": (
@@ -194,7 +205,10 @@ QUERIES = {
     ),
     "ss05_stream_sessions": (
         stream_sessions,
-        """WITH l AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events) SELECT user_id, count(*) FILTER (p IS NULL OR ts > p + INTERVAL 6 HOUR) AS n_sessions, count(*) AS n_events FROM l GROUP BY 1""",
+        """WITH l AS (SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
+        s AS (SELECT user_id, ts, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM l),
+        c AS (SELECT user_id, s, max(ts) + INTERVAL 6 HOUR AS ends, count(*) AS n FROM s GROUP BY ALL)
+        SELECT user_id, count(*) AS n_sessions, CAST(sum(n) AS BIGINT) AS n_events FROM c WHERE ends <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1""",
     ),
     "ss06_stream_entities": (stream_entities, None),
 }

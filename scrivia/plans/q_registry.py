@@ -76,6 +76,18 @@ def startable(spark, sf):
     return R.startable(r.where("doc_id % 2 = 0").select("document_id"), r.select("document_id", "status"))
 
 
+def public_documents(spark, sf):
+    r = registry(spark, sf).select("document_id", "filename", "status", "size", F.concat(F.lit("/data/"), "sha256").alias("path"))
+    return R.public_documents(r)
+
+
+def described(spark, sf):
+    """Tables of every region with their descriptions, place by place."""
+    n = table(spark, sf, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("rows"))
+    listed = n.select("n_regionkey", F.col("rows.n_nationkey").alias("key"), F.transform("rows.n_name", lambda x: F.concat(F.lit("Table of "), x)).alias("description"))
+    return R.described(listed, "key", "description")
+
+
 def found_collections(spark, sf):
     r = registry(spark, sf).groupBy("collection_id").agg(F.min("doc_id").alias("created_at")).withColumn("name", F.concat(F.lit("Docs "), "collection_id"))
     wanted = spark.createDataFrame([("en",), ("DOCS fr",), ("EN",), ("nothing",)], "wanted string")
@@ -249,6 +261,11 @@ QUERIES = {
     ),
     "reg01_recovery": (recovered, f"WITH {SQL_REGISTRY} SELECT document_id, CASE WHEN status IN ('queued', 'processing') THEN 'failed' ELSE status END AS status FROM registry"),
     "reg02_one_job": (startable, f"WITH {SQL_REGISTRY} SELECT document_id FROM registry WHERE doc_id % 2 = 0 AND status NOT IN ('queued', 'processing')"),
+    "prj01_public_documents": (public_documents, f"WITH {SQL_REGISTRY} SELECT document_id, filename, status, CAST(size AS INTEGER) AS size FROM registry"),
+    "jn13_described": (
+        described,
+        "SELECT n_regionkey, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS INTEGER) AS n, n_nationkey AS key, 'Table of ' || n_name AS description FROM nation",
+    ),
     "reg03_find_collection": (
         found_collections,
         """SELECT * FROM (VALUES ('en', 'en'), ('DOCS fr', 'fr')) t(wanted, collection_id) UNION ALL SELECT w, (SELECT lang FROM documents GROUP BY lang ORDER BY min(doc_id), lang LIMIT 1) FROM (VALUES ('EN'), ('nothing')) o(w)""",

@@ -36,10 +36,11 @@ def text_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def row_blocks(rows: DataFrame, name: str, columns: list[str], order: str) -> DataFrame:
-    """Rows as markdown tables of ROWS_PER_BLOCK rows with the header: block, page, caption, markdown, warning."""
-    n = F.row_number().over(Window.orderBy(order))
+    """The first MAX_ROWS - 1 rows as markdown tables of ROWS_PER_BLOCK rows with the header: block, page, caption,
+    markdown. Each partition keeps its first rows only, so that no more than these are numbered in one task."""
     cells = F.array(*[F.col(c).cast("string") for c in columns])
-    numbered = rows.select(cells.alias("cells"), n.alias("n")).where(F.col("n") < MAX_ROWS)
+    first_rows = rows.orderBy(order).limit(MAX_ROWS - 1)
+    numbered = first_rows.select(cells.alias("cells"), F.row_number().over(Window.orderBy(order)).alias("n"))
     blocks = numbered.groupBy(F.floor((F.col("n") - 1) / ROWS_PER_BLOCK).alias("block")).agg(F.sort_array(F.collect_list(F.struct("n", "cells"))).alias("_r"))
     header = F.array(*[F.lit(c) for c in columns])
     first = F.col("block") * ROWS_PER_BLOCK + 1
@@ -50,6 +51,15 @@ def row_blocks(rows: DataFrame, name: str, columns: list[str], order: str) -> Da
     )
 
 
+def row_text(rows: DataFrame, name: str, columns: list[str], order: str) -> DataFrame:
+    """The page text of a delimited file: its name as a heading, and a markdown table of its first TEXT_ROWS rows."""
+    cells = F.array(*[F.col(c).cast("string") for c in columns])
+    first_rows = rows.orderBy(order).limit(TEXT_ROWS).select(F.struct(F.col(order).alias("o"), cells.alias("cells")).alias("r"))
+    header = F.array(F.array(*[F.lit(c) for c in columns]))
+    body = F.transform(F.sort_array(F.collect_list("r")), lambda r: r["cells"])  # TEXT_ROWS at most
+    return first_rows.agg(F.concat(F.lit(f"# {name}\n\n"), T.rows_to_markdown(F.concat(header, body))).alias("text")).select(F.lit(name).alias("document_id"), F.lit(1).alias("page"), "text")
+
+
 class _Page(HTMLParser):
     """Blocks, tables and image texts of one page; an open block ends where the next begins."""
 

@@ -78,7 +78,10 @@ def job_states(events: DataFrame, idle_ms: int | None = 60_000) -> DataFrame:
 
 
 def budget_guard(costed: DataFrame, budget: float) -> DataFrame:
-    """Events (key, event_id, cost_usd) in order until the key's total is above the budget; `over` marks the last one."""
+    """Events (key, event_id, cost_usd) until the key's total is above the budget; `over` marks the last one.
+
+    Events count in the order of their micro-batches, and by event_id within one: an event that arrives late is added
+    to what was spent by then, and one that arrives after its key went over the budget is left out."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         spent = state.get[0] if state.exists else 0.0

@@ -59,3 +59,10 @@ def test_slugs(spark):
     names = spark.createDataFrame(list(enumerate(["a-2", "a", "a", "a", "b", "a 2", "b", "x" * 39 + "-y"])), "id long, name string")
     got = {r.id: r.slug for r in registry.unique_slugs(names, "name", "id").collect()}
     assert got == {0: "a-2", 1: "a", 2: "a-3", 3: "a-4", 4: "b", 5: "a-2-2", 6: "b-2", 7: "x" * 39 + "-"}
+
+
+def test_places_that_do_not_belong_together_fail(spark):
+    df = spark.createDataFrame([(1, ["a", "b"], [5, 6]), (2, [], [])], "id long, tables array<string>, notes array<int>")
+    assert [tuple(r) for r in registry.described(df, "tables", "notes").orderBy("n").collect()] == [(1, 1, "a", 5), (1, 2, "b", 6)]
+    with pytest.raises(Exception, match="differ in length"):
+        registry.described(spark.createDataFrame([(1, ["a"], [5, 6])], df.schema), "tables", "notes").collect()
