@@ -29,8 +29,8 @@ SLOTS_TOGETHER = 1_000_000
 MAX_BROADCAST_SOURCES = 50_000
 #: Up to so many repeated rows, their keys are broadcast (80 bytes each).
 MAX_BROADCAST_REPEATED = 200_000
-#: Multipliers of the permutations: primes, of which a source uses one that does not divide its number of blocks.
-PRIMES = (1000003, 1000033, 1000037, 1000039, 1000081, 1000099, 1000117, 1000121)
+#: Rounds of the permutations.
+ROUNDS = 12
 
 
 class Mix(NamedTuple):
@@ -177,9 +177,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slots = (
         ranges.where("_end > _first")
         .repartition(max(input_partitions(spark), n_mixed // SLOTS_TOGETHER), "shard", "source_no")
-        .select("shard", "source_no", "n_blocks", F.explode(F.sequence(F.col("_first"), F.col("_end") - 1)).alias("slot"))
+        .select("shard", "source_no", "n_blocks", _round_keys(F.col("source_no"), F.col("n_blocks")).alias("_keys"), F.explode(F.sequence(F.col("_first"), F.col("_end") - 1)).alias("slot"))
         .withColumn("_epoch", F.floor(F.col("slot") / F.col("n_blocks")))
-        .withColumn("block", _permuted(F.col("slot") % F.col("n_blocks"), F.col("n_blocks"), F.col("source_no"), F.col("_epoch")))
+        .withColumn("block", _permuted(F.col("slot") % F.col("n_blocks"), F.col("n_blocks"), F.col("source_no"), F.col("_epoch"), F.col("_keys")))
         .select("shard", "source_no", "slot", "block")
     )
 
@@ -215,12 +215,27 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return Mix(documents, sources, slots, taken)
 
 
-def _permuted(index: Column, n: Column, source_no: Column, epoch: Column) -> Column:
-    """A permutation of 0 .. n-1, another one for each source and epoch."""
-    fit = F.filter(F.array(*[F.lit(p).cast("long") for p in PRIMES]), lambda p: n % p != 0)
-    name = [source_no.cast("string"), epoch.cast("string")]
-    step = F.element_at(fit, (F.floor(_uniform(F.lit("step"), *name) * F.size(fit)) + 1).cast("int"))
-    return (index * step + F.floor(_uniform(F.lit("shift"), *name) * n)) % n
+def _round_keys(source_no: Column, n: Column) -> Column:
+    """For each epoch and round of a source's permutations a number below n; made once for a range of slots."""
+    key = lambda e, r: F.floor(_uniform(F.lit("key"), source_no.cast("string"), F.lit(str(e)), F.lit(str(r))) * n)
+    return F.array(*[F.array(*[key(e, r) for r in range(ROUNDS)]) for e in range(MAX_EPOCHS)])
+
+
+def _permuted(index: Column, n: Column, source_no: Column, epoch: Column, keys: Column) -> Column:
+    """A pseudorandom permutation of 0 .. n-1, another one for each source and epoch, for any n.
+
+    In each round a number and its partner (key - number) mod n trade places, or both stay, by one bit of a checksum of
+    the larger of the two; so a round maps the numbers one to one.
+    """
+
+    def one(x: Column, round_: Column) -> Column:
+        partner = F.pmod(round_["key"] - x, n)
+        name = [source_no.cast("string"), epoch.cast("string"), round_["i"].cast("string"), F.greatest(x, partner).cast("string")]
+        bit = F.md5(F.concat_ws("|", F.lit("swap"), *name).cast("binary")).substr(1, 1) >= F.lit("8")
+        return F.when(bit, partner).otherwise(x)
+
+    rounds = F.transform(F.element_at(keys, (epoch + 1).cast("int")), lambda k, i: F.struct(k.alias("key"), i.alias("i")))
+    return F.aggregate(rounds, index, one)
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -326,14 +341,10 @@ WITH sized AS (
 ), slots AS (
   SELECT source_no, n_blocks, slot, slot // n_blocks AS epoch
   FROM taken_of, LATERAL (SELECT unnest(range(0, CAST(n_slots AS BIGINT))) AS slot) t
-), fits AS (
-  SELECT *, [p FOR p IN [1000003, 1000033, 1000037, 1000039, 1000081, 1000099, 1000117, 1000121] IF n_blocks % p <> 0] AS fit,
-         CAST(CAST('0x' || substr(md5('step|' || source_no || '|' || epoch), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496 AS u,
-         CAST(CAST('0x' || substr(md5('shift|' || source_no || '|' || epoch), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496 AS v
-  FROM slots
-), times AS (
-  SELECT source_no, ((slot % n_blocks) * fit[CAST(floor(u * len(fit)) AS INT) + 1] + CAST(floor(v * n_blocks) AS BIGINT)) % n_blocks AS block,
-         count(*) AS times FROM fits GROUP BY ALL
+), x0 AS (
+  SELECT source_no, n_blocks, epoch, CAST(slot % n_blocks AS BIGINT) AS x FROM slots
+@ROUNDS@), times AS (
+  SELECT source_no, x AS block, count(*) AS times FROM x@LAST@ GROUP BY ALL
 ), placed AS (
   SELECT d.doc_id, d.size, t.source_no, t.source_size, t.target,
          row_number() OVER (PARTITION BY t.source_no ORDER BY d.key, d.doc_id, d.size) AS nth,
@@ -348,4 +359,16 @@ WITH sized AS (
 )
 SELECT p.doc_id, p.size, p.source_size, p.target, CAST(coalesce(s.taken, 0) AS BIGINT) AS taken
 FROM placed p LEFT JOIN sums s USING (source_no, nth)
+""".replace(
+    "@ROUNDS@",
+    "".join(
+        f"""), k{r} AS MATERIALIZED (
+  SELECT *, (CAST(floor(CAST(CAST('0x' || substr(md5('key|' || source_no || '|' || epoch || '|{r}'), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496 * n_blocks) AS BIGINT) - x + n_blocks) % n_blocks AS y
+  FROM x{r}
+), x{r + 1} AS MATERIALIZED (
+  SELECT source_no, n_blocks, epoch, CASE WHEN substr(md5('swap|' || source_no || '|' || epoch || '|{r}|' || greatest(x, y)), 1, 1) >= '8' THEN y ELSE x END AS x
+  FROM k{r}
 """
+        for r in range(ROUNDS)
+    ),
+).replace("@LAST@", str(ROUNDS))

@@ -38,6 +38,18 @@ def test_targets_stop_at_three_times_the_size(spark):
     assert abs(rows["a"].target - rows[None].target) < 1e-6  # equal weights, neither full
 
 
+def test_indices_are_permuted(spark):
+    for n in (1, 2, 7, 128, 1000):
+        own = F.lit(3).cast("long"), F.lit(n).cast("long")
+        rows = spark.range(n).crossJoin(spark.range(2).withColumnRenamed("id", "epoch"))
+        x = mixing._permuted(F.col("id"), own[1], own[0], F.col("epoch"), mixing._round_keys(*own))
+        got = [[r.x for r in rows.where(f"epoch = {e}").select("id", x.alias("x")).orderBy("id").collect()] for e in (0, 1)]
+        assert sorted(got[0]) == sorted(got[1]) == list(range(n))
+        if n == 1000:
+            steps = {(b - a) % n for a, b in zip(got[0], got[0][1:])}
+            assert len(steps) > 300 and sum(a == b for a, b in zip(*got)) < 20
+
+
 def test_mixing_counts(spark, documents, odd_documents):
     mix = mixing.mix_sources(documents)
     rows = mix.documents.collect()
