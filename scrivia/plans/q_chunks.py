@@ -161,8 +161,24 @@ def stream_ingest(spark, sf):
     return spark.read.parquet(out).select("sha256")
 
 
+def _next_cut(a: str) -> str:
+    """Where the section that starts at offset `a` ends, in SQL."""
+    ahead = f"list_filter(ends, lambda x: x >= {a})"
+    blank = f"strpos(reverse(substr(text, CAST({a} + 1 AS BIGINT), 3500)), chr(10) || chr(10))"
+    return f"""CASE WHEN list_min({ahead}) - {a} > 5250 THEN {a} + CASE WHEN {blank} > 0 AND 3499 - {blank} > 1166 THEN 3499 - {blank} ELSE 3500 END
+      ELSE greatest(list_min({ahead}), coalesce(list_max(list_filter({ahead}, lambda x: x <= {a} + 3501)), 0)) + 1 END"""
+
+
+_SECTIONS = f"""WITH RECURSIVE l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+n AS (SELECT doc_id, text, ls, i, sum(length(ls[i]) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS e FROM l, LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i) t),
+b AS (SELECT doc_id, any_value(text) AS text, list(CAST(e AS BIGINT) ORDER BY i) FILTER (i = len(ls) OR regexp_matches(ls[i + 1], '^#{{1,2}} ')) AS ends FROM n GROUP BY doc_id),
+c AS (SELECT doc_id, text, ends, CAST(0 AS BIGINT) AS a, CAST({_next_cut('0')} AS BIGINT) AS z FROM b UNION ALL SELECT doc_id, text, ends, z, CAST({_next_cut('z')} AS BIGINT) FROM c WHERE z < length(text)),
+t AS (SELECT doc_id, a, regexp_replace(substr(text, a + 1, z - a), '^\s+|\s+$', '', 'g') AS s FROM c),
+p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS page, s FROM t WHERE s <> '' UNION ALL SELECT doc_id, 1, '' FROM t GROUP BY doc_id HAVING bool_and(s = ''))"""
+
+
 QUERIES = {
-    "t07_sections": (sections, None),
+    "t07_sections": (sections, _SECTIONS + " SELECT 'doc_' || doc_id AS document_id, CAST(page AS INTEGER) AS page, length(s) AS n_chars, md5(s) AS md5 FROM p"),
     "jn10_section_of": (
         section_of,
         """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), p AS (SELECT doc_id, i AS page, sum(length(ls[i]) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM l, LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i) t),
