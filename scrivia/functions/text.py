@@ -135,6 +135,13 @@ def proper_phrases(text: Column) -> Column:
     return F.transform(found, normalize_entity)
 
 
+def heuristic_entities(text: Column, limit: int = 8) -> Column:
+    """The different phrases of a text that look like names, the most frequent first, then by their place."""
+    found = proper_phrases(text)
+    counted = F.transform(F.array_distinct(found), lambda e, i: F.struct((-F.size(F.filter(found, lambda p: p == e))).alias("n"), i.alias("i"), e.alias("e")))
+    return F.transform(F.slice(F.array_sort(counted), 1, limit), lambda x: x["e"])
+
+
 def citations(text: Column) -> Column:
     """Sorted distinct numbers of `[n]`."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[(\d{1,2})\]"), F.lit(1)).cast("array<int>")))

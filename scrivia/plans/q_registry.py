@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from scrivia.operators import cost as C
 from scrivia.operators import registry as R
+from scrivia.operators.lineage import shared_path
 from scrivia.plans.fixtures import SQL_CHUNKS, SQL_QUERIES_LOG, SQL_REGISTRY, SQL_USAGE, chunks, queries_log, registry, table, usage_events
+from scrivia.sources import sinks
 
 PRICES = [("atlas-2", 2.5, 15.0), ("atlas-2-mini", 0.75, 4.5), ("borealis-embed", 0.02, 0.0)]
 SQL_PRICES = "prices(name, price_in, price_out) AS (VALUES ('atlas-2', 2.5::DOUBLE, 15.0::DOUBLE), ('atlas-2-mini', 0.75, 4.5), ('borealis-embed', 0.02, 0.0))"
@@ -88,6 +90,20 @@ def described(spark, sf):
     return R.described(listed, "key", "description")
 
 
+def query_log(spark, sf):
+    """Answered questions appended to the log day by day, and read back."""
+    log, path = queries_log(spark, sf), shared_path(spark, "query-log")
+    for status in ("done", "failed"):
+        sinks.append_log(log.where(F.col("status") == status), path)
+    return spark.read.parquet(path).select("event_id", "collection_id", "status", "latency_ms", "used_web", F.round("cost_usd", 6).alias("cost_usd"))
+
+
+def content_after_ingest(spark, sf):
+    """Chunks of documents whose ingest succeeded; what others left behind goes."""
+    c = chunks(spark, sf)
+    return sinks.succeeded_content(c.select("document_id", "chunk_id"), c.select("document_id", "status").distinct())
+
+
 def found_collections(spark, sf):
     r = registry(spark, sf).groupBy("collection_id").agg(F.min("doc_id").alias("created_at")).withColumn("name", F.concat(F.lit("Docs "), "collection_id"))
     wanted = spark.createDataFrame([("en",), ("DOCS fr",), ("EN",), ("nothing",)], "wanted string")
@@ -261,6 +277,8 @@ QUERIES = {
     ),
     "reg01_recovery": (recovered, f"WITH {SQL_REGISTRY} SELECT document_id, CASE WHEN status IN ('queued', 'processing') THEN 'failed' ELSE status END AS status FROM registry"),
     "reg02_one_job": (startable, f"WITH {SQL_REGISTRY} SELECT document_id FROM registry WHERE doc_id % 2 = 0 AND status NOT IN ('queued', 'processing')"),
+    "snk03_query_log": (query_log, f"WITH {SQL_QUERIES_LOG} SELECT event_id, collection_id, status, latency_ms, used_web, round(cost_usd, 6) AS cost_usd FROM queries"),
+    "snk06_content_after_ingest": (content_after_ingest, f"WITH {SQL_CHUNKS} SELECT document_id, chunk_id FROM chunks WHERE status = 'ready'"),
     "prj01_public_documents": (public_documents, f"WITH {SQL_REGISTRY} SELECT document_id, filename, status, CAST(size AS INTEGER) AS size FROM registry"),
     "jn13_described": (
         described,

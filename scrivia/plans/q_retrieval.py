@@ -13,6 +13,7 @@ from scrivia.operators import index as I
 from scrivia.operators.agent import ask
 from scrivia.operators.lineage import written
 from scrivia.plans.fixtures import SQL_CHUNKS, chunks, sql_keywords, sql_sentences, sql_tokens, table
+from scrivia.plans.q_text import PROPER_SQL, STOP_SQL
 
 
 def _corpus(spark, sf):
@@ -256,6 +257,12 @@ def evaluation_best(spark, sf):
     return A.best_values(A.summarize(_run_results(spark, sf)), {"hit": True, "rr": True, "faithfulness": True, "cost_usd": False})
 
 
+def merged_contexts(spark, sf):
+    """Three useful sources of the first round, and what the second found that is not among them, five in all."""
+    both = _contexts(spark, sf, 6).select("question_id", "id", "n")
+    return A.merge_contexts(both.where("n <= 3"), both, 5).select("question_id", "id", "n")
+
+
 def answers(spark, sf):
     c = _contexts(spark, sf).withColumn("modality", F.lit("text"))
     return A.answer(_questions(spark, sf), c.select("question_id", "n", "modality", "text"))
@@ -347,6 +354,18 @@ q AS (SELECT item_id AS question_id, text AS question, {sql_tokens('text')} AS k
 s AS (SELECT question_id, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / avgdl))), 6) AS score FROM p JOIN qn USING (term) JOIN w USING (term) GROUP BY ALL)"""
 
 
+def _entities(name: str, source: str, key: str) -> str:
+    """CTEs that end in `name` (key, entity): the eight most frequent phrases of each text that look like names."""
+    cut = f"list_filter(list_transform(regexp_extract_all(regexp_replace(text, '[\\x{{80}}-\\x{{10FFFF}}]', '_', 'g'), '{PROPER_SQL}'), lambda x: trim(x)), lambda x: length(x) >= 3 AND lower(x) NOT IN ({STOP_SQL}))"
+    return f"""{name}_p AS (SELECT {key}, {cut} AS ps FROM {source}),
+{name}_e AS (SELECT {key}, i, regexp_replace(regexp_replace(lower(ps[i]), '\\s+', ' ', 'g'), '^(the|a|an)\\s+', '') AS entity FROM {name}_p, LATERAL (SELECT unnest(range(1, len(ps) + 1)) AS i) t),
+{name}_r AS (SELECT {key}, entity, row_number() OVER (PARTITION BY {key} ORDER BY count(*) DESC, min(i)) AS r FROM {name}_e GROUP BY {key}, entity),
+{name} AS (SELECT {key}, entity FROM {name}_r WHERE r <= 8)"""
+
+
+_EDGES = _entities("edges", "documents", "doc_id")
+
+
 def _ranked(k: int, where: str = "true") -> str:
     return f"ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS n FROM s WHERE score > 0 AND {where}) WHERE n <= {k})"
 
@@ -389,8 +408,14 @@ QUERIES = {
     ),
     "e01_hash_embedding": (hashed, None),
     "r04_hybrid": (hybrid, None),
-    "r09_ag09_entity_edges": (entity_edges, None),
-    "r05_jn09_ag08_entities": (by_entity, None),
+    "r09_ag09_entity_edges": (entity_edges, f"WITH {_EDGES} SELECT entity, count(*) AS n_chunks FROM edges GROUP BY 1 HAVING count(*) > 1"),
+    "r05_jn09_ag08_entities": (
+        by_entity,
+        f"""WITH {_EDGES}, {_entities("asked", "benchmark", "item_id")}, k AS (SELECT DISTINCT entity FROM edges),
+        q AS (SELECT item_id, entity FROM benchmark, k WHERE length(entity) >= 3 AND contains(' ' || lower(text) || ' ', ' ' || entity || ' ') UNION SELECT item_id, entity FROM asked JOIN k USING (entity)),
+        h AS (SELECT item_id AS question_id, doc_id AS id, count(*) AS n FROM q JOIN edges USING (entity) GROUP BY ALL)
+        SELECT question_id, id, n FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY n DESC, id) AS r FROM h) WHERE r <= 24""",
+    ),
     "r07_rerank": (
         reranked,
         f"""WITH {_BM25}, {_ranked(24)}, {_CONTEXTS}, k AS (SELECT question_id, doc_id, list_distinct({_KEYS}) AS qs, {sql_tokens('text')} AS ts, count(*) OVER (PARTITION BY question_id) AS nn FROM ctx),
@@ -416,7 +441,18 @@ QUERIES = {
         b AS (SELECT *, list_filter(ks, lambda x, i: list_position(ks, x) = i) AS ds FROM a)
         SELECT conv_id, turn, trim(text || coalesce(' ' || array_to_string(ds, ' '), '') || CASE WHEN conv_id % 3 = 0 THEN ' more detail' ELSE '' END) AS standalone FROM b""",
     ),
-    "q02_t24_st04_grade": (graded, None),
+    "q02_t24_st04_grade": (
+        graded,
+        f"""WITH {_BM25}, {_ranked(6)}, {_CONTEXTS}, kw AS (SELECT question_id, {_KEYS} AS ks FROM q), kq AS (SELECT question_id, list_filter(ks, lambda x, i: list_position(ks, x) = i) AS qs FROM kw),
+        m AS (SELECT question_id, n, qs, {sql_tokens("text || ' ' || title")} AS wide, {sql_tokens('text')} AS own FROM ctx JOIN kq USING (question_id)),
+        a AS (SELECT question_id, n, qs, list_filter(qs, lambda x: list_contains(wide, x)) AS al, list_filter(qs, lambda x: list_contains(own, x)) AS tx FROM m),
+        g AS (SELECT question_id, list_distinct(flatten(list(al) FILTER (n <= 4))) AS found, list_distinct(flatten(list(tx) FILTER (n <= 4))) AS seen,
+                     list_sort(list(n) FILTER (len(al) / greatest(len(qs), 1)::DOUBLE >= 0.34)) AS useful FROM a GROUP BY 1),
+        sh AS (SELECT kq.question_id, qs, found, seen, useful, coalesce(len(found) / greatest(len(qs), 1)::DOUBLE, 0) AS share FROM kq LEFT JOIN g USING (question_id))
+        SELECT question_id, share >= 0.3 AS relevant, share >= 0.6 AS sufficient, coalesce(array_to_string(useful, ','), '') AS useful_sources,
+               CASE WHEN found IS NULL THEN 'no sources were retrieved' ELSE array_to_string(list_filter(qs, lambda x: NOT list_contains(seen, x)), ', ') END AS missing FROM sh""",
+    ),
+    "jn05_st05_merged_contexts": (merged_contexts, f"WITH {_BM25}, {_ranked(5)} SELECT question_id, doc_id AS id, CAST(n AS INTEGER) AS n FROM ranked"),
     "q03_q07_agent": (agent_rounds, None),
     "r03_index_refresh": (refreshed, f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf, round(avgdl, 6) AS avg_length FROM w"),
     "r11_retrieve": (retrieved, None),

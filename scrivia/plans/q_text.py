@@ -123,8 +123,8 @@ def normalized_vectors(spark, sf):
 
 
 _WS = "' ' || chr(9) || chr(10) || chr(13)"
-_PROPER_SQL = r"\b(?:[A-Z][a-zA-Z0-9&\-]+(?:\s+(?:of\s+|for\s+|de\s+)?[A-Z][a-zA-Z0-9&\-]+)*|[A-Z]{2,}[0-9]*)\b"
-_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+PROPER_SQL = r"\b(?:[A-Z][a-zA-Z0-9&\-]+(?:\s+(?:of\s+|for\s+|de\s+)?[A-Z][a-zA-Z0-9&\-]+)*|[A-Z]{2,}[0-9]*)\b"
+STOP_SQL = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 
 QUERIES = {
     "t01_tokenize": (tokenize, f"SELECT doc_id, array_to_string({sql_tokens('text')}, ' ') AS tokens, len({sql_keywords('text')}) AS n_keywords FROM documents"),
@@ -163,7 +163,7 @@ QUERIES = {
     "t27_table_chunks": (table_chunks, "SELECT doc_id, md5(source || chr(10) || chr(10) || CASE WHEN length(text) > 8000 THEN substr(text, 1, 8000) || chr(10) || '…' ELSE text END) AS text_md5 FROM documents"),
     "t14_t15_entities": (
         entities,
-        f"""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(regexp_replace(text, '[\\x{{80}}-\\x{{10FFFF}}]', '_', 'g'), '{_PROPER_SQL}'), lambda x: trim(x)), lambda x: length(x) >= 3 AND lower(x) NOT IN ({_STOP})) AS ps FROM documents),
+        f"""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(regexp_replace(text, '[\\x{{80}}-\\x{{10FFFF}}]', '_', 'g'), '{PROPER_SQL}'), lambda x: trim(x)), lambda x: length(x) >= 3 AND lower(x) NOT IN ({STOP_SQL})) AS ps FROM documents),
         e AS (SELECT doc_id, i, regexp_replace(regexp_replace(lower(ps[i]), '\\s+', ' ', 'g'), '^(the|a|an)\\s+', '') AS entity FROM p, LATERAL (SELECT unnest(range(1, len(ps) + 1)) AS i) t),
         g AS (SELECT doc_id, entity, count(*) AS n, min(i) AS f FROM e GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) AS rank FROM g)
