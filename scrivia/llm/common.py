@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,9 +37,29 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
+_scopes: dict[str, list[str]] = {}
+_open: list[str] = []
+
+
+@contextmanager
+def stash_scope(name: str, spark: SparkSession) -> Iterator[None]:
+    """Tables that are stashed inside belong to the scope `name`; those that belonged to it before are deleted first. To
+    be entered where all that was made of them has been written."""
+    for path in _scopes.pop(name, []):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _open.append(name)
+    try:
+        yield
+    finally:
+        _open.pop()
+
+
 def stash(df: DataFrame, name: str, fmt: str = "parquet", **options: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back: lineage ends here and survives lost executors."""
     path = stash_path(df.sparkSession, name)
+    if _open:
+        _scopes.setdefault(_open[-1], []).append(path)
     df.write.format(fmt).options(**options).save(path)
     return df.sparkSession.read.format(fmt).schema(df.schema).load(path)
 

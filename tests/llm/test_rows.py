@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scrivia.llm import mixing, quality, top_k_search, url_filter
+from scrivia.llm.common import stash, stash_scope
 
 
 def test_url_filter_rules_and_odd_urls(spark):
@@ -93,6 +94,19 @@ def test_search_equals_brute_force(spark, monkeypatch, block, sample):
     assert top_k_search.top_k(df.where("false"), df).count() == 0
 
 
+def test_stashes_of_a_scope_go_when_it_is_entered_again(spark):
+    rows = spark.range(5)
+    outside = stash(rows, "t")
+    with stash_scope("t", spark):
+        first = stash(rows, "t")
+    assert first.count() == 5
+    with stash_scope("t", spark):
+        second = stash(rows, "t")
+    assert second.count() == outside.count() == 5
+    with pytest.raises(Exception, match="(?i)exist|not.found"):
+        spark.read.parquet(first.inputFiles()[0].rsplit("/", 1)[0]).count()
+
+
 def test_base_counts():
     text = "a b c d\na b c d\n\nx # $ y\nx # $ y\n"
     n_words, word_chars, n_symbols, n_lines, n_dup, n_repeat = quality.base_counts(text)
