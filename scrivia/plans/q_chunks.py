@@ -173,7 +173,7 @@ _SECTIONS = f"""WITH RECURSIVE l AS (SELECT doc_id, text, string_split(text, chr
 n AS (SELECT doc_id, text, ls, i, sum(length(ls[i]) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS e FROM l, LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i) t),
 b AS (SELECT doc_id, any_value(text) AS text, list(CAST(e AS BIGINT) ORDER BY i) FILTER (i = len(ls) OR regexp_matches(ls[i + 1], '^#{{1,2}} ')) AS ends FROM n GROUP BY doc_id),
 c AS (SELECT doc_id, text, ends, CAST(0 AS BIGINT) AS a, CAST({_next_cut('0')} AS BIGINT) AS z FROM b UNION ALL SELECT doc_id, text, ends, z, CAST({_next_cut('z')} AS BIGINT) FROM c WHERE z < length(text)),
-t AS (SELECT doc_id, a, regexp_replace(substr(text, a + 1, z - a), '^\s+|\s+$', '', 'g') AS s FROM c),
+t AS (SELECT doc_id, a, regexp_replace(substr(text, a + 1, z - a), '^\\s+|\\s+$', '', 'g') AS s FROM c),
 p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS page, s FROM t WHERE s <> '' UNION ALL SELECT doc_id, 1, '' FROM t GROUP BY doc_id HAVING bool_and(s = ''))"""
 
 
