@@ -88,8 +88,15 @@ def classes() -> np.ndarray:
     return of
 
 
-def _char_class(c: str) -> int:
-    return int(classes()[ord(c)])
+class _ClassOf(dict):
+    """Character -> its class."""
+
+    def __missing__(self, c: str) -> int:
+        self[c] = of = int(classes()[ord(c)])
+        return of
+
+
+_class_of = _ClassOf()
 
 
 def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,14 +144,14 @@ class Restorer:
                         _keep(parted, (b, 0, ""), score + self.logs[a][b][0], (text, " "))
                 states = parted
             new: dict[tuple[int, int, str], tuple[float, tuple]] = {}
-            options = [(r, COST_READ) for r in READINGS[c]] if c in READINGS else [(c, 0.0)] if c.isalpha() else []
+            options = [(r, _class_of[r], COST_READ) for r in READINGS[c]] if c in READINGS else [(c, _class_of[c], 0.0)] if c.isalpha() else []
             skips = COST_SKIP if c in SEPARATORS or c.isspace() or not (options or c.isalpha()) else COST_REPEAT if c == before else None
             for (a, b, last), (score, text) in states.items():
                 if skips is not None:
                     _keep(new, (a, b, last), score - skips, text)
-                for letter, cost in options:
-                    k = _char_class(letter)
-                    _keep(new, (b, k, letter), score - cost + self.logs[a][b][k], (text, letter))
+                following = self.logs[a][b]
+                for letter, k, cost in options:
+                    _keep(new, (b, k, letter), score - cost + following[k], (text, letter))
             states, before = new, c
         if not states:
             return ""
