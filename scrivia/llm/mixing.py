@@ -30,7 +30,7 @@ MAX_BROADCAST_SOURCES = 50_000
 #: Up to so many repeated rows, their keys are broadcast (80 bytes each).
 MAX_BROADCAST_REPEATED = 200_000
 #: Rounds of the permutations.
-ROUNDS = 12
+ROUNDS = 6
 
 
 class Mix(NamedTuple):
