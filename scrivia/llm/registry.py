@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrivia.llm import jaccard_join, langid, mixing, piece_bpe, quality, token_count, token_files, top_k_search, toxicity, url_filter
+from scrivia.llm import conversation_repair, jaccard_join, langid, mixing, piece_bpe, quality, token_count, token_files, top_k_search, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_token_counts": token_count.op9_token_counts,
         "op10_language_id": langid.op10_language_id,
+        "op11_conversation_repair": conversation_repair.op11_conversation_repair,
     }
 
 
@@ -32,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_source_mixing": mixing.OP6_SQL,
         "op7_top_k_search": top_k_search.OP7_SQL,
         "op8_quality_rules": quality.OP8_SQL,
+        "op11_conversation_repair": conversation_repair.OP11_SQL,
     }
