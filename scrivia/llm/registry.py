@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrivia.llm import conversation_repair, jaccard_join, langid, mixing, piece_bpe, quality, token_count, token_files, top_k_search, toxicity, url_filter
+from scrivia.llm import conversation_repair, jaccard_join, langid, lexical_search, mixing, piece_bpe, quality, token_count, token_files, top_k_search, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op9_token_counts": token_count.op9_token_counts,
         "op10_language_id": langid.op10_language_id,
         "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+        "op12_ranked_search": lexical_search.op12_ranked_search,
     }
 
 
@@ -34,4 +35,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_top_k_search": top_k_search.OP7_SQL,
         "op8_quality_rules": quality.OP8_SQL,
         "op11_conversation_repair": conversation_repair.OP11_SQL,
+        "op12_ranked_search": lexical_search.OP12_SQL,
     }
