@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrivia.llm import conversation_repair, jaccard_join, langid, lexical_search, mixing, piece_bpe, quality, token_count, token_files, top_k_search, toxicity, url_filter
+from scrivia.llm import conversation_repair, jaccard_join, langid, lexical_search, mixing, packing, piece_bpe, quality, token_count, token_files, top_k_search, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op10_language_id": langid.op10_language_id,
         "op11_conversation_repair": conversation_repair.op11_conversation_repair,
         "op12_ranked_search": lexical_search.op12_ranked_search,
+        "op13_best_fit_packing": packing.op13_best_fit_packing,
     }
 
 
