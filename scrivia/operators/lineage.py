@@ -29,3 +29,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is read in fewer splits than there are cores, dealt evenly over them; larger ones, and results of a
+    shuffle, stay as they are. Splits of a file without as many row groups are empty, so such a table would be cut into
+    terms, sentences or vectors by one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)

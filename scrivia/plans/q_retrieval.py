@@ -10,6 +10,7 @@ from scrivia.operators import answering as A
 from scrivia.operators import chunking as C
 from scrivia.operators import evaluation as E
 from scrivia.operators import index as I
+from scrivia.operators import lexical as L
 from scrivia.operators.agent import ask
 from scrivia.operators.lineage import written
 from scrivia.plans.fixtures import SQL_CHUNKS, chunks, sql_keywords, sql_sentences, sql_tokens, table
@@ -25,27 +26,31 @@ def _questions(spark, sf):
 
 
 def _index(spark, sf):
-    """The stored index of the corpus; the number of its documents is its version."""
-    corpus = _corpus(spark, sf)
-    return I.index_of_version(spark, f"documents of {sf}", corpus.count(), corpus)
+    """The stored index of the corpus, refreshed where its content has changed."""
+    return L.index_of_version(spark, f"documents of {sf}", _corpus(spark, sf))
 
 
 def bm25(spark, sf):
-    return I.bm25(_questions(spark, sf), _index(spark, sf)).select("question_id", "chunk_id", "score")
+    return L.bm25(_questions(spark, sf), _index(spark, sf)).select("question_id", "chunk_id", "score")
 
 
 def refreshed(spark, sf):
-    """Statistics after the labelled documents came to an index of the others: only they are cut into terms."""
+    """Rankings and statistics of an index that came about in three segments: every document under another text, then
+    the labelled ones as they are and a third of the others gone, then the corpus as it is."""
+    corpus = _corpus(spark, sf)
     labelled = table(spark, sf, "labels").select(F.col("doc_id").alias("chunk_id")).distinct()
-    before = I.lexical_index(_corpus(spark, sf).join(labelled, "chunk_id", "left_anti"))
-    index = I.refreshed_index(before, _corpus(spark, sf).join(labelled, "chunk_id", "left_semi"))
-    return index.weights.select("term", "df", F.round("idf", 6).alias("idf"), F.round("avg_length", 6).alias("avg_length"))
+    index = L.lexical_index(corpus.withColumn("text", F.concat(F.reverse("text"), F.lit(" draft"))))
+    gone = corpus.join(labelled, "chunk_id", "left_anti").where(F.crc32(F.col("chunk_id").cast("string").cast("binary")) % 3 == 0)
+    index = L.refreshed_index(index, corpus.join(labelled, "chunk_id", "left_semi"), gone)
+    index = L.synchronized(index, corpus)
+    ranked = L.bm25(_questions(spark, sf), index).select("question_id", "chunk_id", "score")
+    return ranked.crossJoin(index.weights.agg(F.count("*").alias("n_terms"), F.sum("df").alias("n_postings"), F.round(F.first("avg_length"), 6).alias("avg_length")))  # one row
 
 
 def bm25_filtered(spark, sf):
     """Filters narrow the results; the statistics stay those of the whole corpus."""
     allowed = _corpus(spark, sf).where("lang = 'en'")
-    return I.bm25(_questions(spark, sf), _index(spark, sf), 6, allowed=allowed).select("question_id", "chunk_id", "score")
+    return L.bm25(_questions(spark, sf), _index(spark, sf), 6, allowed=allowed).select("question_id", "chunk_id", "score")
 
 
 def corpus_statistics(spark, sf):
@@ -59,7 +64,7 @@ def expected(spark, sf):
 def evaluated(spark, sf):
     """Hit and reciprocal rank of every benchmark question in its BM25 ranking."""
     index, items = _index(spark, sf), _questions(spark, sf)
-    ranked = I.bm25(items, index).select("question_id", F.col("chunk_id").alias("id"), "rank")
+    ranked = L.bm25(items, index).select("question_id", F.col("chunk_id").alias("id"), "rank")
     gold = I.containing(items, _corpus(spark, sf)).withColumnRenamed("chunk_id", "id")
     return A.first_hits(items, ranked, gold)
 
@@ -108,7 +113,7 @@ def hybrid(spark, sf):
     q = I.hash_embedding(items.select("question_id", F.col("question").alias("text")), "question_id", "text").withColumnRenamed("question_id", "query_id")
     d = I.hash_embedding(corpus, "chunk_id", "text").withColumnRenamed("chunk_id", "vec_id")
     dense_part = I.dense_top(q, d).select("query_id", F.col("vec_id").alias("id"), F.lit("dense").alias("source"), "rank")
-    sparse = I.bm25(items, _index(spark, sf)).select(F.col("question_id").alias("query_id"), F.col("chunk_id").alias("id"), F.lit("sparse").alias("source"), "rank")
+    sparse = L.bm25(items, _index(spark, sf)).select(F.col("question_id").alias("query_id"), F.col("chunk_id").alias("id"), F.lit("sparse").alias("source"), "rank")
     return I.fuse(dense_part.unionByName(sparse), 12)
 
 
@@ -126,7 +131,7 @@ def by_entity(spark, sf):
 
 def _contexts(spark, sf, k=6):
     c = chunks(spark, sf).select(F.col("doc_id").alias("chunk_id"), "modality", "text", F.col("filename").alias("title"))
-    r = I.bm25(_questions(spark, sf), _index(spark, sf), k)
+    r = L.bm25(_questions(spark, sf), _index(spark, sf), k)
     return r.join(c, "chunk_id").select("question_id", F.col("chunk_id").alias("id"), F.col("rank").alias("n"), "score", "modality", "text", "title")
 
 
@@ -454,7 +459,10 @@ QUERIES = {
     ),
     "jn05_st05_merged_contexts": (merged_contexts, f"WITH {_BM25}, {_ranked(5)} SELECT question_id, doc_id AS id, CAST(n AS INTEGER) AS n FROM ranked"),
     "q03_q07_agent": (agent_rounds, None),
-    "r03_index_refresh": (refreshed, f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf, round(avgdl, 6) AS avg_length FROM w"),
+    "r03_index_refresh": (
+        refreshed,
+        f"WITH {_BM25}, {_ranked(24)} SELECT question_id, doc_id AS chunk_id, score, n_terms, n_postings, avg_length FROM ranked, (SELECT count(*) AS n_terms, CAST(sum(df) AS BIGINT) AS n_postings, round(first(avgdl), 6) AS avg_length FROM w)",
+    ),
     "r11_retrieve": (retrieved, None),
     "r11_tk02_shortlist": (retrieved_simply, None),
     "r10_retrieve_trace": (retrieval_trace, None),
