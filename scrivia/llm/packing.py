@@ -58,14 +58,21 @@ class ByteWords:
         self.model = Tokenizer.from_file(model)
         self.model.no_truncation()
         self.model.no_padding()
-        (self.special, self.special_id), *more = [(t.content, i) for i, t in self.model.get_added_tokens_decoder().items()]
+        self.special, *more = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        if hasattr(self.model.model, "_resize_cache"):  # words are kept here
+            self.model.model._resize_cache(0)
+        vocabulary = self.model.get_vocab()
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():  # a byte is one character of a token
+            self.n_bytes[i] = len(token)
         self.spaced: dict[str, bytes | None] = {"": None}
         self.first: dict[str, bytes | None] = {"": None}
-        self.line = self._bytes([self._ids("\n")])
+        self.line = self._bytes(self._ids("\n"))
+        self.signs = {s: self._bytes(self._ids(s)) for s in ".,;:!?"}
         assert not more and self._ids("it's a\nb, c!\n1 2") == [i for w in ("it's", " a", "\n", "b,", " c!", "\n", "1", " 2") for i in self._ids(w)]
 
     def _ids(self, text: str) -> list[int]:
-        return self.model.encode(text, add_special_tokens=False).ids
+        return self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     @staticmethod
     def _bytes(ids: list) -> bytes:
@@ -75,25 +82,41 @@ class ByteWords:
         """Encode new words; those that are too long to keep are returned."""
         if len(known) > CACHED:  # the first ones seen are the frequent ones
             for key in list(itertools.islice(reversed(known), CACHED // 2)):
-                if key not in words:
+                if key:
                     del known[key]
-        new, passing = [w for w in words if w not in known], {}
-        plain = []
+        new, passing, plain, signed = words.difference(known), {}, set(), []
         for w in new:
             if w[0].isspace() or w[-1].isspace():
                 known[w] = None
             elif len(w) > LONGEST_KEPT:
                 passing[w] = self._bytes(self._ids(blank + w))
+            elif w[-1] in self.signs and w[-2:-1].isalpha():  # a sign behind a letter stands alone
+                signed.append(w)
+                if w[:-1] not in known:
+                    plain.add(w[:-1])
             else:
-                plain.append(w)
-        for at in range(0, len(plain), 1000):
-            some = plain[at : at + 1000]
-            ids = np.array(self.model.encode_batch_fast([self.special.join(blank + w for w in some)], add_special_tokens=False)[0].ids, "<i4")
-            cuts = np.flatnonzero(ids == self.special_id)
-            data, starts, ends = ids.tobytes(), (4 * cuts + 4).tolist(), (4 * cuts).tolist()
-            known.update(zip(some, [data[a:b] for a, b in zip([0, *starts], [*ends, len(data)])]))
+                plain.add(w)
+        several = list(plain)
+        for at in range(0, len(several), 10_000):
+            self._learn_together(several[at : at + 10_000], blank, known)
+        for w in signed:
+            known[w] = known[w[:-1]] + self.signs[w[-1]]
         return passing
 
+    def _learn_together(self, words: list[str], blank: str, known: dict[str, bytes | None]) -> None:
+        """Encode words in one text and part its ids where words end, by the bytes that each id stands for."""
+        between = blank or "\n"
+        ids = np.array(self._ids(blank + between.join(words)), "<i4")
+        reached = np.concatenate([[0], np.cumsum(self.n_bytes[ids])])
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])  # each with one blank or line break
+        starts = ends - np.array([ends[0], *np.diff(ends)])
+        if not blank:  # the line break comes behind
+            ends = ends - 1
+        first, last = np.searchsorted(reached, starts), np.searchsorted(reached, ends)
+        assert (reached[first] == starts).all() and (reached[last] == ends).all()
+        data = ids.tobytes()
+        known.update(zip(words, [data[a:b] for a, b in zip((4 * first).tolist(), (4 * last).tolist())]))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts."""
         out: list[bytes] = []
