@@ -11,6 +11,7 @@ from scrivia.operators import chunking as C
 from scrivia.operators import evaluation as E
 from scrivia.operators import index as I
 from scrivia.operators import lexical as L
+from scrivia.operators import vector_index as V
 from scrivia.operators.agent import ask
 from scrivia.operators.lineage import written
 from scrivia.plans.fixtures import SQL_CHUNKS, chunks, sql_keywords, sql_sentences, sql_tokens, table
@@ -350,6 +351,17 @@ def lsh_recall(spark, sf):
     return met.groupBy("query_id").agg(F.round(F.count("found") / F.count("*"), 4).alias("recall"))
 
 
+def ivf_recall(spark, sf):
+    """Approximate dense search in the stored inverted file, with its recall and the share of vectors that it scores."""
+    v = _vectors(spark, sf)
+    index = V.index_of_version(spark, f"embeddings of {sf}", v.select("vec_id", "vector"))
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+    exact = I.dense_top(q, v, 10).select("query_id", "vec_id")
+    near = V.ivf_top(q, index, 10).select("query_id", "vec_id").withColumn("found", F.lit(1))
+    met = exact.join(near, ["query_id", "vec_id"], "left")
+    return met.groupBy("query_id").agg(F.round(F.count("found") / F.count("*"), 4).alias("recall"))
+
+
 _BM25 = f"""t AS (SELECT doc_id, text, lang, CASE WHEN len(k) = 0 THEN ['_'] ELSE k END AS k FROM (SELECT doc_id, text, lang, {sql_tokens('text')} AS k FROM documents)),
 x AS (SELECT doc_id, len(k) AS n, unnest(k) AS term FROM t), p AS (SELECT doc_id, term, n, count(*) AS tf FROM x GROUP BY ALL),
 c AS (SELECT count(*) AS docs, avg(len(k)) AS avgdl FROM t), d AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
@@ -515,6 +527,7 @@ QUERIES = {
     ),
     "ev07_tk05_questions": (generated_questions, None),
     "r01b_lsh_recall": (lsh_recall, None),
+    "r01b_ivf_recall": (ivf_recall, None),
 }
 QUERIES["ag16_best"] = (
     best,
