@@ -135,7 +135,7 @@ def ivf_top(queries: DataFrame, index: VectorIndex, k: int, share: float | None
     asked = queries.where("vector IS NOT NULL").select("query_id", F.col("vector").cast("array<double>").alias("vector"))
     asked_type = asked.schema["query_id"].dataType.simpleString()
     out = spark.createDataFrame([], f"query_id {asked_type}, vec_id {index.id_type}, score double, rank int")
-    blocks = -(-asked.count() // MAX_BROADCAST_QUERIES)
+    blocks = -(-asked.count() // MAX_BROADCAST_QUERIES) if index.sizes else 0
     for n in range(blocks):
         some = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
         out = out.unionByName(_ivf_block(some, index, k, index.share if share is None else share, read, asked_type))
