@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_within: ContextVar[str | None] = ContextVar("scratch folder", default=None)
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share, under the application's id.
@@ -21,7 +26,22 @@ def shared_path(spark: SparkSession, name: str) -> str:
             raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         top = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/{sc.applicationId}/{name}-{uuid.uuid4().hex}"
+    within = _within.get() or f"{top.rstrip('/')}/{sc.applicationId}"
+    return f"{within}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[str]:
+    """A shared folder for what is written inside, deleted behind it: results that go on are written before it ends, to a
+    path taken outside. Scopes of other threads and calls have folders of their own."""
+    path = shared_path(spark, name)
+    token = _within.set(path)
+    try:
+        yield path
+    finally:
+        _within.reset(token)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -180,19 +180,18 @@ def graded(spark, sf):
 _collections: dict = {}
 
 
-def _collection(spark, sf, chunking="recursive"):
-    """Documents cut into sections, and these into chunks; indexed once a session."""
-    key = (spark.sparkContext.applicationId, sf, chunking)
-    if key not in _collections:
-        d = table(spark, sf, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("document_id"), F.concat_ws("_", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("filename"), "text")
-        pages = written(C.sections(d), "pages")
-        cut = {"recursive": C.recursive_chunks, "semantic": C.semantic_chunks}[chunking](pages.select("document_id", "page", "text"))
-        cut = cut.select("document_id", "page", "seq", "text")
-        records = C.chunk_records(cut, cut.where("false"), cut.where("false"))
-        c = written(records.join(d.select("document_id", "filename", F.col("filename").alias("title")), "document_id"), "chunks")
-        parents = pages.select(F.concat("document_id", F.lit(":p"), F.col("page").cast("string")).alias("parent_id"), "text")
-        _collections[key] = I.collection(c, parents)
-    return _collections[key]
+def _library(spark, sf):
+    name = F.concat_ws("_", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return table(spark, sf, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("document_id"), name.alias("filename"), "text")
+
+
+def _collection(spark, sf):
+    """Documents cut into sections, and these into chunks; indexed once for a content of the documents."""
+    key, docs = (spark.sparkContext.applicationId, sf), _library(spark, sf)
+    version = L.content_version(docs, "document_id")
+    if key not in _collections or _collections[key][0] != version:
+        _collections[key] = (version, E.rechunked(docs, C.recursive_chunks))
+    return _collections[key][1]
 
 
 def _public(contexts):
@@ -235,15 +234,24 @@ _runs: dict = {}
 
 
 def _run_results(spark, sf):
-    """Two chunkings of the same documents, two presets each, over the benchmark questions; once a session."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _runs:
+    """Two chunkings of the documents as hidden copies, four presets each, over the benchmark questions; once for a
+    content of the documents."""
+    key, docs = (spark.sparkContext.applicationId, sf), _library(spark, sf)
+    version = L.content_version(docs, "document_id")
+    if key not in _runs or _runs[key][0] != version:
         items, gold = _questions(spark, sf), expected(spark, sf)
         named = gold.groupBy("question_id").agg(F.collect_set(F.concat(F.lit("doc_"), F.col("chunk_id").cast("string"))).alias("expected"))
         first = F.get(T.sentences(F.col("question")), 0)
         golden = written(items.join(named, "question_id", "left").withColumn("reference_answer", first), "golden")
-        _runs[key] = E.run(golden, {c: _collection(spark, sf, c) for c in ("recursive", "semantic")}, ["dense", "hybrid+rerank"])
-    return _runs[key]
+        _runs[key] = (version, *E.run_rechunked(golden, docs, {"recursive": C.recursive_chunks, "semantic": C.semantic_chunks}, "documents"))
+    return _runs[key][1]
+
+
+def evaluation_cost(spark, sf):
+    """What the run cost: its configurations, and the judge's calls, one for each answer that was judged, at a listed price."""
+    results = _run_results(spark, sf)
+    calls = results.select((F.length("answer") / 4 * F.lit(2.5 / 1_000_000)).alias("cost_usd"))
+    return E.run_cost(A.summarize(results), calls)
 
 
 def evaluation_results(spark, sf):
@@ -483,6 +491,7 @@ QUERIES = {
     "ev06_run_summary": (evaluation_summary, None),
     "snk04_run_report": (evaluation_report, None),
     "ag16_run_best": (evaluation_best, None),
+    "ag14_evaluation_cost": (evaluation_cost, None),
     "q04_answers": (
         answers,
         f"""WITH {_BM25}, {_ranked(6)}, {_CONTEXTS}, k AS (SELECT question_id, n, list_distinct({_KEYS}) AS qs, {sql_sentences('text')} AS ss FROM ctx),
