@@ -26,8 +26,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
             raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         top = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(top)
-    within = _within.get() or f"{top.rstrip('/')}/{sc.applicationId}"
-    return f"{within}/{name}-{uuid.uuid4().hex}"
+    under = _within.get() or f"{top.rstrip('/')}/{sc.applicationId}"
+    return f"{under}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def within(path: str) -> Iterator[None]:
+    """What is written inside goes under `path`, which shared_path gave. Other threads are not affected."""
+    token = _within.set(path)
+    try:
+        yield
+    finally:
+        _within.reset(token)
 
 
 @contextmanager
@@ -35,13 +45,17 @@ def scratch(spark: SparkSession, name: str) -> Iterator[str]:
     """A shared folder for what is written inside, deleted behind it: results that go on are written before it ends, to a
     path taken outside. Scopes of other threads and calls have folders of their own."""
     path = shared_path(spark, name)
-    token = _within.set(path)
     try:
-        yield path
+        with within(path):
+            yield path
     finally:
-        _within.reset(token)
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        removed(spark, path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing will read again."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
