@@ -204,8 +204,8 @@ def identify(docs: DataFrame, model: tuple[list[str], bytes], text_col: str = "t
         columns = zip(*out) if out else [[]] * len(OUT)
         return pa.StructArray.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], OUT)
 
-    judged = docs.drop(*OUT).withColumn("_judged", predict(F.col(text_col)))
-    return judged.withColumns({c: F.col(f"_judged.{c}") for c in OUT}).drop("_judged")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in OUT])
+    return docs.select(own.alias("_own"), predict(F.col(text_col)).alias("_judged")).select("_own.*", "_judged.*")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,7 +91,8 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         columns = zip(*found) if found else [[]] * len(BASE)
         return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], BASE)
 
-    counted = docs.withColumn("_base", count(F.col(text_col))).withColumns({n: F.col(f"_base.{n}") for n in BASE}).drop("_base")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in BASE])
+    counted = docs.select(own.alias("_own"), count(F.col(text_col)).alias("_counts")).select("_own.*", "_counts.*")
     ratio = lambda part, whole: F.least(F.lit(1000), F.expr(f"coalesce({part} * 1000 div nullif({whole}, 0), 0)"))
     return counted.withColumns(
         {

@@ -68,10 +68,11 @@ def filter_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default
         F.sort_array(F.collect_set(F.length("path"))).alias("lengths"),
         F.count("*").alias("n"),
     ).first()
-    base = urls.drop("host", "path", "rule", "verdict")
-    judged = base.withColumns({"host": url_host(F.col(url_col)), "path": url_path(F.col(url_col))})
+    # the row's own columns wait in one, so that none of them meets a name that is used here
+    own = F.struct(*[F.col(f"`{c}`") for c in urls.columns if c not in ("host", "path", "rule", "verdict")])
+    judged = urls.select(own.alias("_own"), url_host(F.col(f"`{url_col}`")).alias("host"), url_path(F.col(f"`{url_col}`")).alias("path"))
     if not shape["n"]:
-        return judged.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+        return judged.select("_own.*", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
 
     depths, lengths = F.array(*map(F.lit, shape["depths"])), F.array(*map(F.lit, shape["lengths"]))
     labels = F.size(F.split("host", r"\."))
@@ -103,12 +104,13 @@ def filter_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default
     best = F.max(
         F.when(confirmed, F.struct(F.length("_rule"), "_host_length", "_rule", "_verdict"))
     ).alias("_best")
-    kept = [c for c in judged.columns]
     return (
         met.groupBy("_row")
-        .agg(best, *[F.any_value(F.col(f"`{c}`")).alias(c) for c in kept])
+        .agg(best, *[F.any_value(c).alias(c) for c in judged.columns])
         .select(
-            *[F.col(f"`{c}`") for c in kept],
+            "_own.*",
+            "host",
+            "path",
             F.col("_best._rule").alias("rule"),
             F.coalesce(F.col("_best._verdict"), F.lit(default)).alias("verdict"),
         )

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from scrivia.llm import mixing, quality, top_k_search, url_filter
-from scrivia.llm.common import stash, stash_scope
+from scrivia.llm.common import stash
+from scrivia.operators.lineage import scratch
 
 
 def test_url_filter_rules_and_odd_urls(spark):
@@ -95,16 +96,11 @@ def test_search_equals_brute_force(spark, monkeypatch, block, sample):
 
 
 def test_stashes_of_a_scope_go_when_it_is_entered_again(spark):
-    rows = spark.range(5)
-    outside = stash(rows, "t")
-    with stash_scope("t", spark):
-        first = stash(rows, "t")
-    assert first.count() == 5
-    with stash_scope("t", spark):
-        second = stash(rows, "t")
-    assert second.count() == outside.count() == 5
-    with pytest.raises(Exception, match="(?i)exist|not.found"):
-        spark.read.parquet(first.inputFiles()[0].rsplit("/", 1)[0]).count()
+    with scratch(spark, "t") as folder:
+        first = stash(spark.range(3), "first")
+        assert first.count() == 3 and all(f.split("://")[-1].removeprefix("file:").startswith(folder) for f in first.inputFiles())
+    other = stash(spark.range(4), "other")
+    assert other.count() == 4
 
 
 def test_base_counts():
