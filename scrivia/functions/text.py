@@ -135,11 +135,25 @@ def proper_phrases(text: Column) -> Column:
     return F.transform(found, normalize_entity)
 
 
+def let(value: Column, body) -> Column:
+    """`body` of a value that is worked out once, however often it stands in the body's lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def heuristic_entities(text: Column, limit: int = 8) -> Column:
-    """The different phrases of a text that look like names, the most frequent first, then by their place."""
-    found = proper_phrases(text)
-    counted = F.transform(F.array_distinct(found), lambda e, i: F.struct((-F.size(F.filter(found, lambda p: p == e))).alias("n"), i.alias("i"), e.alias("e")))
-    return F.transform(F.slice(F.array_sort(counted), 1, limit), lambda x: x["e"])
+    """The different phrases of a text that look like names, the most frequent first, then by their place.
+
+    Phrases are sorted, so that equal ones are runs; a run's length is their number, and its first their first place.
+    """
+    placed = lambda found: F.array_sort(F.transform(found, lambda e, i: F.struct(e.alias("e"), i.alias("i"))))
+    begins = lambda s: F.filter(
+        F.transform(s, lambda x, k: F.when((k == 0) | (F.get(s, k - 1)["e"] != x["e"]), k)), lambda k: k.isNotNull()
+    )
+    run = lambda s, starts: lambda k, j: F.struct(
+        (k - F.coalesce(F.get(starts, j + 1), F.size(s))).alias("n"), F.get(s, k)["i"].alias("i"), F.get(s, k)["e"].alias("e")
+    )
+    counted = let(placed(proper_phrases(text)), lambda s: let(begins(s), lambda starts: F.array_sort(F.transform(starts, run(s, starts)))))
+    return F.transform(F.slice(counted, 1, limit), lambda x: x["e"])
 
 
 def citations(text: Column) -> Column:

@@ -139,6 +139,24 @@ def unique_slugs(names: DataFrame, name_col: str, order_col: str) -> DataFrame:
     return alone.select(*names.columns, "slug").unionByName(folded.select(*names.columns, "slug"))
 
 
+#: Chunks of one document that are listed.
+DOCUMENT_CHUNKS = 500
+
+
+def document_chunks(chunks: DataFrame, limit: int = DOCUMENT_CHUNKS) -> DataFrame:
+    """The first chunks of every document (document_id, page, ordinal), in its order."""
+    n = F.row_number().over(Window.partitionBy("document_id").orderBy("page", "ordinal"))
+    return chunks.withColumn("_n", n).where(F.col("_n") <= limit).drop("_n")
+
+
+def transcripts(turns: DataFrame, owners: DataFrame) -> DataFrame:
+    """conv_id, owner, roles: turns of every conversation in order; roles are null where `owners` (conv_id, owner) has none."""
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"])
+    roles = turns.groupBy("conv_id").agg(F.array_join(ordered, ">").alias("roles"))
+    met = roles.join(owners, "conv_id", "left")
+    return met.select("conv_id", "owner", F.when(F.col("owner").isNotNull(), F.col("roles")).alias("roles"))
+
+
 def current_state(events: DataFrame, key: str, fields: list[str], at: str = "ts") -> DataFrame:
     """The latest values of every key; on equal times the larger values."""
     latest = F.max(F.struct(F.col(at), *[F.col(f) for f in fields]))

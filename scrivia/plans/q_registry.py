@@ -184,10 +184,9 @@ def messages(spark, sf):
 
 
 def transcripts(spark, sf):
-    """Turns of every conversation in order, for conversations that an owner may see."""
-    t = table(spark, sf, "conversations").where("conv_id % 2 = 0")
-    turns = F.sort_array(F.collect_list(F.struct("turn", "role")))
-    return t.groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda x: x["role"]), ">").alias("roles"))
+    """Turns of every conversation in order; those of a conversation that no customer owns are not shown."""
+    owners = table(spark, sf, "customer").select(F.col("c_custkey").alias("conv_id"), F.col("c_name").alias("owner"))
+    return R.transcripts(table(spark, sf, "conversations"), owners)
 
 
 def priced(spark, sf):
@@ -222,7 +221,8 @@ def newest(spark, sf):
 
 def ready_chunks(spark, sf):
     c, r = chunks(spark, sf).drop("status", "filename"), registry(spark, sf).where("status = 'ready'")
-    return c.join(r.select("document_id", "filename"), "document_id").orderBy("page", "doc_id").limit(500).select("chunk_id", "filename", "modality")
+    ready = c.join(r.select("document_id", "filename"), "document_id")
+    return R.document_chunks(ready).select("chunk_id", "filename", "modality")
 
 
 def jobs_with_names(spark, sf):
@@ -344,7 +344,7 @@ QUERIES = {
         e AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1 AS f, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) IS NULL AS l FROM k)
         SELECT conv_id, turn, role FROM e WHERE NOT (f AND role = 'assistant') AND NOT (l AND role = 'user')""",
     ),
-    "q06_turns": (transcripts, "SELECT conv_id, string_agg(role, '>' ORDER BY turn, role) AS roles FROM conversations WHERE conv_id % 2 = 0 GROUP BY 1"),
+    "q06_turns": (transcripts, "SELECT conv_id, c_name AS owner, CASE WHEN c_name IS NOT NULL THEN string_agg(role, '>' ORDER BY turn, role) END AS roles FROM conversations LEFT JOIN customer ON c_custkey = conv_id GROUP BY conv_id, c_name"),
     "jn11_cst01_prices": (priced, f"WITH {SQL_COSTED} SELECT event_id, model, round(cost_usd, 9) AS cost_usd, unpriced FROM costed"),
     "ag12_cst02_usage": (
         usage,
@@ -362,7 +362,7 @@ QUERIES = {
         _ESTIMATES + " SELECT CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(embedding_tokens) AS BIGINT) AS embedding_tokens, round(sum(cost_usd), 3) AS cost_usd, count(*) FILTER (over_budget) AS n_over FROM est",
     ),
     "flt03_tk04_newest": (newest, f"WITH {SQL_REGISTRY} SELECT document_id, status FROM registry WHERE collection_id = 'en' AND status IN ('queued', 'processing', 'staged') ORDER BY doc_id DESC LIMIT 25"),
-    "flt02_jn01_tk03_ready_chunks": (ready_chunks, f"WITH {SQL_CHUNKS} SELECT chunk_id, filename, modality FROM chunks WHERE status = 'ready' ORDER BY page, doc_id LIMIT 500"),
+    "flt02_jn01_tk03_ready_chunks": (ready_chunks, f"WITH {SQL_CHUNKS} SELECT chunk_id, filename, modality FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page, ordinal) AS n FROM chunks WHERE status = 'ready') WHERE n <= 500"),
     "jn02_jobs": (jobs_with_names, f"WITH {SQL_REGISTRY} SELECT event_id, 'doc_' || event_id AS document_id, filename FROM events e LEFT JOIN registry r ON r.doc_id = e.event_id"),
     "flt04_jn04_targets": (ingest_targets, f"WITH {SQL_REGISTRY} SELECT document_id, 'named' AS why FROM registry WHERE doc_id % 50 = 1 UNION ALL SELECT document_id, 'staged' FROM registry WHERE status = 'staged'"),
 }

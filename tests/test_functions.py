@@ -66,3 +66,29 @@ def test_places_that_do_not_belong_together_fail(spark):
     assert [tuple(r) for r in registry.described(df, "tables", "notes").orderBy("n").collect()] == [(1, 1, "a", 5), (1, 2, "b", 6)]
     with pytest.raises(Exception, match="differ in length"):
         registry.described(spark.createDataFrame([(1, ["a"], [5, 6])], df.schema), "tables", "notes").collect()
+
+
+def test_entities_of_many_names_are_counted_in_one_pass(spark):
+    import time
+
+    from scrivia.functions import text as T
+
+    names = [f"Name{i // 3 if i % 5 else 7}ia" for i in range(10_000)]
+    want = sorted({n: (-names.count(n), names.index(n)) for n in set(names)}.items(), key=lambda x: x[1])[:8]
+    df = spark.createDataFrame([("; ".join(names) + ".",)], "text string")
+    few = df.select(T.heuristic_entities(F.substring("text", 1, 200))).first()
+    assert few
+    began = time.monotonic()
+    got = df.select(T.heuristic_entities(F.col("text"))).first()[0]
+    assert got == [n.lower() for n, _ in want] and time.monotonic() - began < 5
+
+
+def test_chunks_of_every_document_and_owned_transcripts(spark):
+    from scrivia.operators import registry as R
+
+    chunks = spark.range(1300).select((F.col("id") % 2).alias("document_id"), (F.col("id") % 7).alias("page"), F.col("id").alias("ordinal"))
+    kept = R.document_chunks(chunks)
+    assert [r["count"] for r in kept.groupBy("document_id").count().collect()] == [500, 500] and kept.where("page > 5").count() == 0
+    turns = spark.createDataFrame([(1, 1, "b"), (1, 0, "a"), (2, 0, "a")], "conv_id long, turn long, role string")
+    got = R.transcripts(turns, spark.createDataFrame([(1, "me")], "conv_id long, owner string")).collect()
+    assert sorted(map(tuple, got)) == [(1, "me", "a>b"), (2, None, None)]
