@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable
 
@@ -25,6 +26,15 @@ def hold_cache(owner: str, clear: Callable[[], object]) -> None:
             empty()
         _holder[:] = [(owner, clear)]
         gc.collect()
+        _give_back()
+
+
+def _give_back() -> None:
+    """Freed memory goes back to the system, where the C library can be asked for that."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

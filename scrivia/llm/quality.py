@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scrivia.llm.common import WORD, stash, table
+from scrivia.llm.common import WORD, hold_cache, stash, table
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -87,6 +87,7 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     @F.arrow_udf(f"struct<{schema}>")
     def count(texts: pa.Array) -> pa.Array:
+        hold_cache("quality", lambda: None)
         found = [base_counts(t.as_py() or "") for t in texts]
         columns = zip(*found) if found else [[]] * len(BASE)
         return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], BASE)
