@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivia.functions import text as T
+from scrivia.operators.lineage import written
 
 ACTIVE = ["queued", "processing"]
 RESTAGE = ["failed", "cancelled"]
@@ -111,32 +111,24 @@ def bump_versions(collections: DataFrame, changes: DataFrame) -> DataFrame:
 def unique_slugs(names: DataFrame, name_col: str, order_col: str) -> DataFrame:
     """slug of every name in the order of arrival: base, or the first of base-2, base-3, ... that no earlier name has.
 
-    Bases meet only where one of them ends in a number itself, so only names of such a stem are told apart one after
-    another, as a fold over the stem's names; all others are numbered by a window.
+    All names claim a slug at once, the n-th name of a base its n-th; of those that claim the same, the first to arrive
+    keeps it, and the others, with what follows in their bases, move on to the next. No name can have an earlier slug than
+    it claims, so once no two claim the same the slugs are those of one name after another. Names of different bases
+    meet by the slug alone; a base such as `doc-2` that arrived before the second `doc` takes one round more.
     """
-    base = names.withColumn("_base", T.slug(F.col(name_col))).withColumn("_stem", F.regexp_replace("_base", r"(-\d+)+$", ""))
-    mixed = base.where("_base <> _stem").select("_stem").distinct()
-    nth = F.row_number().over(Window.partitionBy("_base").orderBy(order_col))
-    alone = base.join(mixed, "_stem", "left_anti").withColumn("_n", nth)
-    alone = alone.withColumn("slug", F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", F.col("_n").cast("string")))).drop("_n")
-
-    def number(rows: pd.DataFrame) -> pd.DataFrame:
-        taken: set[str] = set()
-        following: dict[str, int] = {}
-        slugs = []
-        rows = rows.sort_values(order_col, kind="stable")
-        for own in rows["_base"]:
-            slug, n = own, following.get(own, 2)
-            while slug in taken:
-                slug, n = f"{own}-{n}", n + 1
-            following[own] = n
-            taken.add(slug)
-            slugs.append(slug)
-        return rows.assign(slug=slugs)
-
-    met = base.join(mixed, "_stem", "left_semi").select(*base.columns)
-    folded = met.groupBy("_stem").applyInPandas(number, met.withColumn("slug", F.lit("")).schema)
-    return alone.select(*names.columns, "slug").unionByName(folded.select(*names.columns, "slug"))
+    found = written(names.select(F.struct(*names.columns).alias("_own"), T.slug(F.col(name_col)).alias("_base"), F.struct(F.col(order_col), F.monotonically_increasing_id()).alias("_at")), "slug-names")
+    within = Window.partitionBy("_base").orderBy("_nth").rowsBetween(Window.unboundedPreceding, 0)
+    claims = found.select("_at", "_base", F.row_number().over(Window.partitionBy("_base").orderBy("_at")).alias("_nth")).withColumn("_n", F.col("_nth"))
+    while True:
+        slug = F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", F.col("_n").cast("string")))
+        claims = written(claims.withColumn("slug", slug), "slug-claims")
+        first = claims.groupBy("slug").agg(F.min("_at").alias("_first"), F.count("*").alias("_often")).where("_often > 1").drop("_often")
+        lost = claims.join(first, "slug", "left").withColumn("_lost", F.coalesce(F.col("_at") != F.col("_first"), F.lit(False)))
+        if lost.where("_lost").isEmpty():
+            break
+        behind = F.max(F.col("_n") + F.col("_lost").cast("int") - F.col("_nth")).over(within)
+        claims = lost.select("_at", "_base", "_nth", (behind + F.col("_nth")).alias("_n"))
+    return found.join(claims.select("_at", "slug"), "_at").select("_own.*", "slug")
 
 
 #: Chunks of one document that are listed.
