@@ -2,10 +2,10 @@
 
 Base counts of every text become ratios in whole numbers. Their quantile sketches, over the documents that pass the
 fixed base rules, are counts per whole number, for each language and source: they merge by addition, so tasks sum them
-before the shuffle, and the sketches of small groups fall back on those of their language, merged from the same
-counts, or of all. A sketch has at most LARGEST + 1 cells, its ranks are exact, and its values are below by less than
-one unit. Limits lie beyond a group's quantiles by a multiple of their distance, so they follow the group; then
-documents meet the limits of their group and are filtered.
+before the shuffle, and the sketches of small groups fall back on those of their language, of their source, or of all,
+merged from the same counts. A sketch has at most LARGEST + 1 cells, its ranks are exact, and its values are below by
+less than one unit. Limits come from a group's quantiles, so they follow the group; then documents meet the limits of
+their group and are filtered.
 """
 
 from __future__ import annotations
@@ -23,19 +23,23 @@ from scrivia.llm.common import WORD, hold_cache, stash, table
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
-#: Ratios in thousandths, each with two quantiles and a margin: the limit is the upper quantile, and SPREAD times its
-#: distance from the lower one, and the margin. Most clean texts have neither symbols nor repeated lines, so there the
-#: margin decides, and no third of junk moves it; words that repeat are usual in some groups and hardly in others.
-UPPER = {"symbol_ratio": ("q50", "q25", 50), "dup_line_ratio": ("q50", "q25", 350), "repeat_ratio": ("q90", "q75", 150)}
-SPREAD = 6
+#: Ratios in thousandths, each with two quantiles: the limit is the upper one and SPREAD times its distance from the
+#: lower one, or more, by two further quantiles of the group. One is the room that a text of the lower quartile of
+#: sizes gives to chance: ROOM[metric] symbols, lines or words of it, as a ratio. The other looks at the texts that have
+#: any (non-zero cells). Where only a minority has symbols, the limit stands halfway between none and the lower quartile
+#: of those; lines repeat by chance in clean texts too, so there the limit is FAR times the quartiles' distance beyond.
+UPPER = {"symbol_ratio": ("q50", "q25"), "dup_line_ratio": ("q50", "q25"), "repeat_ratio": ("q90", "q75")}
+SPREAD, FAR = 6, 3
+ROOM = {"symbol_ratio": (10, "word_chars"), "dup_line_ratio": (2, "n_lines"), "repeat_ratio": (45, "n_words")}
 #: The mean length of a word, in hundredths of a character, has limits on both sides of the median, WIDTH times the
 #: smaller distance of the quartiles from it, or LEAST_WIDTH. The smaller one is that of clean texts even where a third
 #: of a group are long or short by junk.
 WIDTH, LEAST_WIDTH = 12, 8
 METRICS = [*UPPER, "word_length"]
-LARGEST = 2000
+ROOMS = [f"room_{m}" for m in ROOM]
+LARGEST = 100_000
 QUANTILES = {"q25": (1, 4), "q50": (1, 2), "q75": (3, 4), "q90": (9, 10)}
-#: Groups with fewer documents take the sketch of their language, or of all.
+#: Groups with fewer documents take the sketch of their language, then of their source, or of all.
 MIN_GROUP = 100
 #: Up to so many groups, their thresholds are broadcast.
 MAX_BROADCAST_GROUPS = 100_000
@@ -100,6 +104,7 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "symbol_ratio": ratio("n_symbols", "word_chars"),
             "dup_line_ratio": ratio("n_dup_lines", "n_lines"),
             "repeat_ratio": ratio("n_repeat_words", "n_words"),
+            **{f"room_{m}": ratio(f"{k}L", whole) for m, (k, whole) in ROOM.items()},
             "word_length": F.least(F.lit(LARGEST), F.expr("coalesce(word_chars * 100 div nullif(n_words, 0), 0)")),
             "base_failed": (F.col("n_words") < MIN_WORDS)
             | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
@@ -109,41 +114,71 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def sketches(counted: DataFrame) -> DataFrame:
     """lang, source, metric, bin, n: the mergeable sketch of every group that has a document that passes the base rules."""
-    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("int").alias("bin")) for m in METRICS])
+    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("int").alias("bin")) for m in [*METRICS, *ROOMS]])
     passed = counted.where("not base_failed").select("lang", "source", F.inline(cells))
     return passed.groupBy("lang", "source", "metric", "bin").agg(F.count("*").alias("n"))
 
 
 def _limits(summed: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, metric, total, least, most of every sketch in `summed`."""
-    running = Window.partitionBy(*keys, "metric").orderBy("bin")
-    placed = summed.withColumns({"_upto": F.sum("n").over(running), "_total": F.sum("n").over(Window.partitionBy(*keys, "metric"))})
-    quantiles = [F.min(F.when(F.col("_upto") * of >= F.col("_total") * part, F.col("bin"))).alias(name) for name, (part, of) in QUANTILES.items()]
-    found = placed.groupBy(*keys, "metric").agg(F.max("_total").alias("total"), *quantiles)
-    width = WIDTH * F.greatest(F.lit(LEAST_WIDTH), F.least(F.col("q50") - F.col("q25"), F.col("q75") - F.col("q50")))
-    most = F.col("q50") + width
-    for metric, (high, low, margin) in UPPER.items():
-        most = F.when(F.col("metric") == metric, F.col(high) + SPREAD * (F.col(high) - F.col(low)) + margin).otherwise(most)
-    least = F.when(F.col("metric") == "word_length", F.col("q50") - width).otherwise(0)
-    return found.select(*keys, "metric", "total", least.alias("least"), most.alias("most"))
+    """keys, total, and least_<metric> and most_<metric> of every sketch in `summed`."""
+    sketch = Window.partitionBy(*keys, "metric")
+    placed = summed.withColumns(
+        {
+            "_upto": F.sum("n").over(sketch.orderBy("bin")),
+            "_total": F.sum("n").over(sketch),
+            "_zero": F.sum(F.when(F.col("bin") == 0, F.col("n")).otherwise(0)).over(sketch),
+        }
+    )
+    beyond = lambda part, of, none: (F.col("_upto") - none) * of >= (F.col("_total") - none) * part
+    first = lambda m, fits: F.min(F.when((F.col("metric") == m) & fits, F.col("bin")))
+    found = {}
+    for m in [*METRICS, *ROOMS]:
+        for name, (part, of) in QUANTILES.items():
+            found[f"{name}_{m}"] = first(m, beyond(part, of, F.lit(0)))
+    for m in ("symbol_ratio", "dup_line_ratio"):
+        for name in ("q25", "q75"):
+            part, of = QUANTILES[name]
+            found[f"some_{name}_{m}"] = first(m, (F.col("bin") > 0) & beyond(part, of, F.col("_zero")))
+    total = F.max(F.when(F.col("metric") == "word_length", F.col("_total")))
+    wide = placed.groupBy(*keys).agg(total.alias("total"), *[value.alias(name) for name, value in found.items()])
+
+    q = lambda name, m: F.col(f"{name}_{m}")
+    limits = {}
+    for m, (high, low) in UPPER.items():
+        limits[m] = (F.lit(0), F.greatest(q(high, m) + SPREAD * (q(high, m) - q(low, m)), q("q75", f"room_{m}")))
+    least, most = limits["symbol_ratio"]
+    limits["symbol_ratio"] = (least, F.greatest(most, F.floor(q("some_q25", "symbol_ratio") / 2)))
+    least, most = limits["dup_line_ratio"]
+    spread = q("some_q75", "dup_line_ratio") - q("some_q25", "dup_line_ratio")
+    limits["dup_line_ratio"] = (least, F.greatest(most, q("some_q75", "dup_line_ratio") + FAR * spread))
+    m = "word_length"
+    width = WIDTH * F.greatest(F.lit(LEAST_WIDTH), F.least(q("q50", m) - q("q25", m), q("q75", m) - q("q50", m)))
+    limits[m] = (q("q50", m) - width, q("q50", m) + width)
+    return wide.select(*keys, "total", *[c.cast("bigint").alias(f"{side}_{m}") for m in METRICS for side, c in zip(("least", "most"), limits[m])])
+
+
+LEVELS = {"own": ["lang", "source"], "of_lang": ["lang"], "of_source": ["source"], "of_all": []}
 
 
 def group_thresholds(cells: DataFrame) -> DataFrame:
-    """lang, source, and least_<metric> and most_<metric> of every group, from its own sketch or the one it falls back on."""
-    of = {}
-    for name, keys in {"own": ["lang", "source"], "of_lang": ["lang"], "of_all": []}.items():
-        wide = _limits(cells.groupBy(*keys, "metric", "bin").agg(F.sum("n").alias("n")), keys).groupBy(*keys)
-        value = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
-        of[name] = wide.agg(
-            F.max("total").alias(f"_n_{name}"), *[value(m, c).alias(f"_{c}_{m}_{name}") for m in METRICS for c in ("least", "most")]
-        )
-    own, of_lang = of["own"].alias("o"), of["of_lang"].alias("l")
-    met = own.join(of_lang, F.col("o.lang").eqNullSafe(F.col("l.lang"))).select("o.*", *[f"l.{c}" for c in of["of_lang"].columns if c != "lang"])
-    met = met.withColumn("_one", F.lit(1)).join(of["of_all"].withColumn("_one", F.lit(1)), "_one")  # one row
-    chosen = lambda x: (
-        F.when(F.col("_n_own") >= MIN_GROUP, F.col(f"_{x}_own")).when(F.col("_n_of_lang") >= MIN_GROUP, F.col(f"_{x}_of_lang")).otherwise(F.col(f"_{x}_of_all"))
-    )
-    return met.select("lang", "source", *[chosen(f"{c}_{m}").alias(f"{c}_{m}") for m in METRICS for c in ("least", "most")])
+    """lang, source, level, and least_<metric> and most_<metric> of every group, from its own sketch or the one it falls
+    back on, which `level` names."""
+    sides = [f"{side}_{m}" for m in METRICS for side in ("least", "most")]
+    met = None
+    for name, keys in LEVELS.items():
+        limits = _limits(cells.groupBy(*keys, "metric", "bin").agg(F.sum("n").alias("n")), keys)
+        found = limits.select(*[F.col(k).alias(f"_{k}_{name}") for k in keys], F.struct("total", *sides).alias(f"_{name}"))
+        if met is None:
+            met = found.withColumnsRenamed({f"_{k}_{name}": k for k in keys})
+        elif keys:
+            met = met.join(found, F.col(keys[0]).eqNullSafe(F.col(f"_{keys[0]}_{name}")))
+        else:
+            met = met.withColumn("_one", F.lit(1)).join(found.withColumn("_one", F.lit(1)), "_one")  # one row
+    chosen, level = F.col("_of_all"), F.lit("of_all")
+    for name in reversed([n for n in LEVELS if n != "of_all"]):
+        enough = F.col(f"_{name}.total") >= MIN_GROUP
+        chosen, level = F.when(enough, F.col(f"_{name}")).otherwise(chosen), F.when(enough, F.lit(name)).otherwise(level)
+    return met.select("lang", "source", level.alias("level"), chosen.alias("_chosen")).select("lang", "source", "level", *[f"_chosen.{c}" for c in sides])
 
 
 def judge(counted: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -202,39 +237,48 @@ WITH cut AS (
   SELECT *, least(1000, coalesce(n_symbols * 1000 // nullif(word_chars, 0), 0)) AS symbol_ratio,
          least(1000, coalesce(n_dup_lines * 1000 // nullif(n_lines, 0), 0)) AS dup_line_ratio,
          least(1000, coalesce(n_repeat_words * 1000 // nullif(n_words, 0), 0)) AS repeat_ratio,
-         least(2000, coalesce(word_chars * 100 // nullif(n_words, 0), 0)) AS word_length,
+         least(1000, coalesce(10000 // nullif(word_chars, 0), 0)) AS room_symbol_ratio,
+         least(1000, coalesce(2000 // nullif(n_lines, 0), 0)) AS room_dup_line_ratio,
+         least(1000, coalesce(45000 // nullif(n_words, 0), 0)) AS room_repeat_ratio,
+         least(100000, coalesce(word_chars * 100 // nullif(n_words, 0), 0)) AS word_length,
          n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
   FROM counts
 ), cells AS (
   SELECT lang, source, metric, bin, count(*) AS n
-  FROM (SELECT lang, source, unnest(['symbol_ratio', 'dup_line_ratio', 'repeat_ratio', 'word_length']) AS metric,
-               unnest([symbol_ratio, dup_line_ratio, repeat_ratio, word_length]) AS bin FROM ratios WHERE NOT base_failed) GROUP BY ALL
+  FROM (SELECT lang, source, unnest(['symbol_ratio', 'dup_line_ratio', 'repeat_ratio', 'word_length', 'room_symbol_ratio', 'room_dup_line_ratio',
+                                     'room_repeat_ratio']) AS metric,
+               unnest([symbol_ratio, dup_line_ratio, repeat_ratio, word_length, room_symbol_ratio, room_dup_line_ratio, room_repeat_ratio]) AS bin FROM ratios WHERE NOT base_failed) GROUP BY ALL
 ), levels AS (
   SELECT 0 AS level, lang, source, metric, bin, n FROM cells
   UNION ALL SELECT 1, lang, NULL, metric, bin, sum(n) FROM cells GROUP BY ALL
-  UNION ALL SELECT 2, NULL, NULL, metric, bin, sum(n) FROM cells GROUP BY ALL
+  UNION ALL SELECT 2, NULL, source, metric, bin, sum(n) FROM cells GROUP BY ALL
+  UNION ALL SELECT 3, NULL, NULL, metric, bin, sum(n) FROM cells GROUP BY ALL
 ), placed AS (
   SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bin) AS upto,
-         sum(n) OVER (PARTITION BY level, lang, source, metric) AS total FROM levels
+         sum(n) OVER (PARTITION BY level, lang, source, metric) AS total,
+         coalesce(sum(n) FILTER (bin = 0) OVER (PARTITION BY level, lang, source, metric), 0) AS zero FROM levels
 ), quantiles AS (
   SELECT level, lang, source, metric, max(total) AS n, min(bin) FILTER (4 * upto >= total) AS q25, min(bin) FILTER (2 * upto >= total) AS q50,
-         min(bin) FILTER (4 * upto >= 3 * total) AS q75, min(bin) FILTER (10 * upto >= 9 * total) AS q90
+         min(bin) FILTER (4 * upto >= 3 * total) AS q75, min(bin) FILTER (10 * upto >= 9 * total) AS q90,
+         min(bin) FILTER (bin > 0 AND 4 * (upto - zero) >= total - zero) AS some25,
+         min(bin) FILTER (bin > 0 AND 4 * (upto - zero) >= 3 * (total - zero)) AS some75
   FROM placed GROUP BY ALL
 ), limits AS (
-  SELECT level, lang, source, metric, n,
-         CASE metric WHEN 'word_length' THEN q50 - 12 * greatest(8, least(q50 - q25, q75 - q50)) ELSE 0 END AS lo,
-         CASE metric WHEN 'symbol_ratio' THEN q50 + 6 * (q50 - q25) + 50 WHEN 'dup_line_ratio' THEN q50 + 6 * (q50 - q25) + 350
-                     WHEN 'repeat_ratio' THEN q90 + 6 * (q90 - q75) + 150 ELSE q50 + 12 * greatest(8, least(q50 - q25, q75 - q50)) END AS hi
-  FROM quantiles
-), chosen AS (
-  SELECT o.lang, o.source, o.metric, CASE WHEN o.n >= 100 THEN o.lo WHEN l.n >= 100 THEN l.lo ELSE a.lo END AS lo,
-         CASE WHEN o.n >= 100 THEN o.hi WHEN l.n >= 100 THEN l.hi ELSE a.hi END AS hi
-  FROM limits o JOIN limits l ON o.level = 0 AND l.level = 1 AND l.lang IS NOT DISTINCT FROM o.lang AND l.metric = o.metric
-  JOIN limits a ON a.level = 2 AND a.metric = o.metric
+  SELECT level, lang, source, max(n) FILTER (metric = 'word_length') AS n,
+         greatest(max(greatest(q50 + 6 * (q50 - q25), some25 // 2)) FILTER (metric = 'symbol_ratio'), max(q75) FILTER (metric = 'room_symbol_ratio')) AS s,
+         greatest(max(greatest(q50 + 6 * (q50 - q25), some75 + 3 * (some75 - some25))) FILTER (metric = 'dup_line_ratio'),
+                  max(q75) FILTER (metric = 'room_dup_line_ratio')) AS d,
+         greatest(max(q90 + 6 * (q90 - q75)) FILTER (metric = 'repeat_ratio'), max(q75) FILTER (metric = 'room_repeat_ratio')) AS p,
+         max(q50 - 12 * greatest(8, least(q50 - q25, q75 - q50))) FILTER (metric = 'word_length') AS w0,
+         max(q50 + 12 * greatest(8, least(q50 - q25, q75 - q50))) FILTER (metric = 'word_length') AS w1
+  FROM quantiles GROUP BY ALL
 ), wide AS (
-  SELECT lang, source, max(hi) FILTER (metric = 'symbol_ratio') AS s, max(hi) FILTER (metric = 'dup_line_ratio') AS d,
-         max(hi) FILTER (metric = 'repeat_ratio') AS p, max(lo) FILTER (metric = 'word_length') AS w0, max(hi) FILTER (metric = 'word_length') AS w1
-  FROM chosen GROUP BY ALL
+  SELECT o.lang, o.source, unnest(CASE WHEN o.n >= 100 THEN {'s': o.s, 'd': o.d, 'p': o.p, 'w0': o.w0, 'w1': o.w1}
+                                       WHEN l.n >= 100 THEN {'s': l.s, 'd': l.d, 'p': l.p, 'w0': l.w0, 'w1': l.w1}
+                                       WHEN c.n >= 100 THEN {'s': c.s, 'd': c.d, 'p': c.p, 'w0': c.w0, 'w1': c.w1}
+                                       ELSE {'s': a.s, 'd': a.d, 'p': a.p, 'w0': a.w0, 'w1': a.w1} END)
+  FROM limits o JOIN limits l ON o.level = 0 AND l.level = 1 AND l.lang IS NOT DISTINCT FROM o.lang
+  JOIN limits c ON c.level = 2 AND c.source IS NOT DISTINCT FROM o.source JOIN limits a ON a.level = 3
 )
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,

@@ -116,7 +116,8 @@ def test_base_counts():
 
 def counted_rows(spark, rows):
     schema = "lang string, source string, symbol_ratio int, word_length int"
-    return spark.createDataFrame(rows, schema).selectExpr("*", "0 dup_line_ratio", "0 repeat_ratio", "false base_failed")
+    rooms = ["12 room_symbol_ratio", "300 room_dup_line_ratio", "150 room_repeat_ratio"]
+    return spark.createDataFrame(rows, schema).selectExpr("*", "0 dup_line_ratio", "0 repeat_ratio", *rooms, "false base_failed")
 
 
 def test_thresholds_follow_groups_and_ignore_a_third_of_junk(spark):
@@ -124,7 +125,8 @@ def test_thresholds_follow_groups_and_ignore_a_third_of_junk(spark):
     rows = [("en", "s", 0, w) for w in words(500, 200)] + [("en", "s", 330, 800)] * 99 + [("en", "t", 330, 800)] * 3 + [("de", "s", 0, w) for w in words(600, 200)]
     df = counted_rows(spark, rows)
     limits = {(r.lang, r.source): r for r in quality.group_thresholds(quality.sketches(df)).collect()}
-    assert limits["en", "s"].most_symbol_ratio == limits["en", "t"].most_symbol_ratio == 50  # t falls back on its language
+    # halfway to those with symbols, t by its language; where none has any, the room of a short text
+    assert limits["en", "s"].most_symbol_ratio == limits["en", "t"].most_symbol_ratio == 165 and limits["de", "s"].most_symbol_ratio == 12
     assert limits["en", "s"].most_word_length < 790 and limits["de", "s"].most_word_length > limits["en", "s"].most_word_length
     kept = quality.judge(df, quality.group_thresholds(quality.sketches(df)))
     assert kept.where("kept").count() == 400 and kept.where("kept and symbol_ratio > 0").count() == 0
@@ -132,6 +134,28 @@ def test_thresholds_follow_groups_and_ignore_a_third_of_junk(spark):
     assert quality.judge(base, quality.group_thresholds(quality.sketches(base))).where("kept").count() == 0
 
 
+def test_small_groups_borrow_from_language_then_source(spark):
+    rows = [("en", "s", 0, 500)] * 120 + [("en", "t", 0, 900)] * 5 + [("fr", "s", 0, 900)] * 5 + [("de", "u", 0, 900)] * 5 + [(None, None, 0, 900)]
+    limits = {(r.lang, r.source): r for r in quality.group_thresholds(quality.sketches(counted_rows(spark, rows))).collect()}
+    levels = {k: r.level for k, r in limits.items()}
+    assert levels == {("en", "s"): "own", ("en", "t"): "of_lang", ("fr", "s"): "of_source", ("de", "u"): "of_all", (None, None): "of_all"}
+    assert len({r.most_word_length for r in limits.values()}) == 1  # all of them have the 120 in their sketch
+
+
+def test_varying_limits_decide_on_the_large_table(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source")
+    counted = quality.with_counts(docs).drop("text").where("not base_failed").persist()
+    limits = quality.group_thresholds(quality.sketches(counted)).collect()
+    for m in quality.METRICS:  # no limit is one value for all groups
+        assert len({r[f"most_{m}"] for r in limits}) >= 5, m
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    judged = quality.judge(counted, spark.createDataFrame(limits)).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    kept = {r.quality: r.kept for r in judged}
+    assert kept[1] >= 0.995 and kept[0] <= 0.01
+    counted.unpersist()
+
+
 def test_limits_differ_between_groups_and_keep_clean_documents(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
