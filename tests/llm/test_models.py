@@ -60,7 +60,7 @@ def near_copies(seed=5):
 
 @pytest.mark.parametrize(("rounds", "known"), [(4, 400_000), (0, 400_000), (2, 10), (4, 0)])
 def test_components_equal_brute_force(spark, monkeypatch, rounds, known):
-    for name, value in [("SHORT_LIST", 3), ("CHUNK", 8), ("CELL_ROWS", 4), ("CELL_COLUMNS", 8), ("ROUNDS", rounds), ("FREQUENT_FROM", 6), ("MAX_FREQUENT", known)]:
+    for name, value in [("SHORT_LIST", 3), ("CHUNK", 8), ("CELL_ROWS", 4), ("CELL_COLUMNS", 8), ("CELL_ROW_SHINGLES", 60), ("CELL_COLUMN_SHINGLES", 90), ("ROUNDS", rounds), ("FREQUENT_FROM", 6), ("MAX_FREQUENT", known)]:
         monkeypatch.setattr(jaccard_join, name, value)
     rows = near_copies()
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("clash"))
