@@ -84,6 +84,11 @@ def web(spark, sf):
     return p.select("page_id", "title", F.length("text").cast("long").alias("n_chars"), F.size("tables").cast("long").alias("n_tables"), F.md5(F.col("text").cast("binary")).alias("md5"))
 
 
+def web_sections(spark, sf):
+    s = corpus.web_sections(corpus.web_pages(table(spark, sf, "pages")))
+    return s.select("document_id", "page", "title", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("md5"))
+
+
 def checked_vectors(spark, sf):
     return corpus.vectors(table(spark, sf, "embeddings"), 64).select("vec_id", "label")
 
@@ -206,6 +211,7 @@ QUERIES = {
         SELECT block, CAST((block * 40 + 1) // 400 + 1 AS INTEGER) AS page, 'part rows ' || (block * 40 + 1) || '-' || (block * 40 + c) AS caption, md5('| p_partkey | p_name | p_brand |' || chr(10) || '|---|---|---|' || chr(10) || r) AS md5 FROM b""",
     ),
     "src09_web_pages": (web, None),
+    "src09_web_sections": (web_sections, None),
     "src11_vectors": (checked_vectors, "SELECT vec_id, label FROM embeddings"),
     "t09_pipe_tables": (pipe_tables, "SELECT n_nationkey, '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| ' || n_name || ' | ' || n_nationkey || ' |' AS table_text FROM nation"),
     "ss01_stream_ingest": (stream_ingest, "SELECT DISTINCT sha256(text) AS sha256 FROM documents"),

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scrivia.functions import text as T
-from scrivia.operators.chunking import sections
+from scrivia.operators.chunking import cut_sections, sections
 
 # Fixed values of the row blocks.
 ROWS_PER_BLOCK, ROWS_PER_PAGE, TEXT_ROWS, MAX_ROWS = 40, 400, 400, 2001
@@ -60,24 +62,74 @@ def row_text(rows: DataFrame, name: str, columns: list[str], order: str) -> Data
     return first_rows.agg(F.concat(F.lit(f"# {name}\n\n"), T.rows_to_markdown(F.concat(header, body))).alias("text")).select(F.lit(name).alias("document_id"), F.lit(1).alias("page"), "text")
 
 
+def _squeezed(parts: list[str]) -> str:
+    return " ".join("".join(parts).split())
+
+
+def _markdown(rows: list[list[str]]) -> str:
+    """What `rows_to_markdown` of the text functions gives, for the parser's tasks."""
+    cells = [[c.replace("|", "\\|") for c in row] for row in rows if any(row)]
+    width = max(map(len, cells), default=0)
+    lines = ["| " + " | ".join(row + [""] * (width - len(row))) + " |" for row in cells]
+    return "\n".join([lines[0], "|" + "---|" * width, *lines[1:]]) if lines else ""
+
+
+class _Table:
+    """An open table: its place among the page's blocks, and what it holds so far."""
+
+    def __init__(self, place: int):
+        self.place, self.rows, self.cell, self.caption, self.in_caption = place, [], None, [], False
+
+    def end_cell(self):
+        if self.cell is not None:
+            self.rows[-1].append(_squeezed(self.cell))
+        self.cell = None
+
+    def start(self, tag: str):
+        if tag in ("caption", "tr", "td", "th"):
+            self.in_caption = tag == "caption"
+        if tag == "tr" or (tag in ("td", "th") and not self.rows):
+            self.end_cell()
+            self.rows.append([])
+        if tag in ("td", "th"):
+            self.end_cell()
+            self.cell = []
+
+    def end(self, tag: str):
+        if tag == "caption":
+            self.in_caption = False
+        elif tag in ("td", "th", "tr"):
+            self.end_cell()
+
+    def data(self, data: str):
+        if self.in_caption:
+            self.caption.append(data)
+        elif self.cell is not None:
+            self.cell.append(data)
+
+
 class _Page(HTMLParser):
-    """Blocks, tables and image texts of one page; an open block ends where the next begins."""
+    """Blocks of one page in order, with its tables among them, and the places of its images; an open block ends where the
+    next begins. A table inside a cell is a table of its own behind the outer one, whose cell has its words too."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.title, self.blocks, self.tables, self.images = "", [], [], []
-        self.skip, self.open, self.buffer, self.in_title, self.rows, self.cell = [], None, [], False, None, None
+        self.skip, self.open, self.buffer, self.in_title, self.nested, self.waiting = [], None, [], False, [], []
 
     def _end_block(self):
-        words = " ".join("".join(self.buffer).split())
+        words = _squeezed(self.buffer)
         if self.open and words:
             self.blocks.append(HEADINGS.get(self.open, "- " if self.open == "li" else "") + words)
         self.open, self.buffer = None, []
+        self.images += [(len(self.blocks), alt) for alt in self.waiting]  # an image stands behind the block it is in
+        self.waiting = []
 
-    def _end_cell(self):
-        if self.cell is not None:
-            self.rows[-1].append(" ".join("".join(self.cell).split()))
-        self.cell = None
+    def _end_table(self):
+        table = self.nested.pop()
+        table.end_cell()
+        self.blocks[table.place] = _markdown(table.rows)
+        self.tables.append(table)
 
     def handle_starttag(self, tag, attrs):
         if tag in DROPPED:
@@ -87,19 +139,22 @@ class _Page(HTMLParser):
         elif tag == "title":
             self.in_title = True
         elif tag == "img" and (alt := dict(attrs).get("alt")):
-            self.images.append(alt)
+            self.waiting.append(alt)
+            if not self.open:
+                self._end_block()
         elif tag == "table":
             self._end_block()
-            self.rows = []
-        elif self.rows is not None and tag == "tr":
-            self._end_cell()
-            self.rows.append([])
-        elif self.rows and tag in ("td", "th"):
-            self._end_cell()
-            self.cell = []
-        elif self.rows is None and tag in BLOCKS:
+            self.nested.append(_Table(len(self.blocks)))
+            self.blocks.append("")
+        elif self.nested:
+            self.nested[-1].start(tag)
+            for table in self.nested:
+                table.data(" ")
+        elif tag in BLOCKS:
             self._end_block()
             self.open = tag
+        elif tag == "br" and self.open:
+            self.buffer.append(" ")
 
     def handle_endtag(self, tag):
         if self.skip and tag == self.skip[-1]:
@@ -108,12 +163,10 @@ class _Page(HTMLParser):
             return
         elif tag == "title":
             self.in_title = False
-        elif tag == "table" and self.rows is not None:
-            self._end_cell()
-            self.tables.append(self.rows)
-            self.rows = self.cell = None
-        elif tag in ("td", "th", "tr"):
-            self._end_cell()
+        elif tag == "table" and self.nested:
+            self._end_table()
+        elif self.nested:
+            self.nested[-1].end(tag)
         elif tag in BLOCKS and self.open:
             self._end_block()
 
@@ -122,27 +175,82 @@ class _Page(HTMLParser):
             return
         if self.in_title:
             self.title += data
-        elif self.cell is not None:
-            self.cell.append(data)
+        elif self.nested:
+            for table in self.nested:
+                table.data(data)
         elif self.open:
             self.buffer.append(data)
 
+    def finished(self) -> tuple:
+        """title, text, tables, images, sections, elements; called once, at the end of the page."""
+        self.close()
+        self._end_block()
+        while self.nested:
+            self._end_table()
+        starts = [0, *accumulate(len(b) + 2 if b else 0 for b in self.blocks)]
+        text = "\n\n".join(filter(None, self.blocks))
+        cut = cut_sections(text)
+        ends = list(accumulate(len(s) + 1 for s in cut))
+        section = lambda offset: min(bisect_right(ends, offset), len(cut) - 1) + 1
+        tables = sorted((t for t in self.tables if self.blocks[t.place]), key=lambda t: t.place)
+        elements = [("table", starts[t.place], section(starts[t.place]), _squeezed(t.caption), self.blocks[t.place]) for t in tables]
+        elements += [("image", starts[place], section(starts[place]), alt, None) for place, alt in self.images]
+        return self.title.strip(), text, [t.rows for t in tables], [alt for _, alt in self.images], cut, elements
+
+
+ELEMENT = "kind string, at long, section int, caption string, markdown string"
+WEB_PAGE = (
+    "page_id long, title string, text string, tables array<array<array<string>>>, images array<string>, "
+    f"sections array<string>, elements array<struct<{', '.join(c.replace(' ', ': ') for c in ELEMENT.split(', '))}>>"
+)
+
 
 def web_pages(pages: DataFrame) -> DataFrame:
-    """page_id, title, text, tables (rows of cells), images (alternative texts) of pages (page_id, html)."""
+    """page_id, title, text, tables (rows of cells), images (alternative texts), sections and elements of pages (page_id,
+    html). The text has tables as markdown in their places; an element is a table or image with its place in the text (at),
+    the section that holds it, its caption, and a table's markdown. A page is read in one pass of one task, so elements meet
+    their sections without a join. A null or empty page has an empty text and one empty section."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for page_id, html in zip(batch["page_id"], batch["html"]):
+            found = []
+            for html in batch.column("html").to_pylist():
                 page = _Page()
                 page.feed(html or "")
-                page.close()
-                page._end_block()
-                out.append((page_id, page.title.strip(), "\n\n".join(page.blocks), page.tables, page.images))
-            yield pd.DataFrame(out, columns=["page_id", "title", "text", "tables", "images"])
+                found.append(page.finished())
+            columns = list(zip(*found)) if found else [[]] * (len(out) - 1)
+            elements = [[dict(zip(names, e)) for e in of_page] for of_page in columns[-1]]
+            arrays = [pa.array(c, f.type) for c, f in zip([*columns[:-1], elements], list(out)[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id").cast(pa.int64()), *arrays], schema=out)
+
+    element = pa.struct([("kind", pa.string()), ("at", pa.int64()), ("section", pa.int32()), ("caption", pa.string()), ("markdown", pa.string())])
+    strings = pa.list_(pa.string())
+    names = [f.name for f in element]
+    out = pa.schema(
+        [("page_id", pa.int64()), ("title", pa.string()), ("text", pa.string()), ("tables", pa.list_(pa.list_(strings))),
+         ("images", strings), ("sections", strings), ("elements", pa.list_(element))]
+    )
+    return pages.select("page_id", "html").mapInArrow(read, WEB_PAGE)
+
+
+def web_sections(read: DataFrame) -> DataFrame:
+    """document_id, title, page, text: the sections of read pages as rows."""
+    placed = read.select(F.col("page_id").cast("string").alias("document_id"), "title", F.posexplode("sections").alias("_i", "text"))
+    return placed.select("document_id", "title", (F.col("_i") + 1).alias("page"), "text")
+
+
+def web_elements(read: DataFrame) -> DataFrame:
+    """document_id, n (from 1 within the page and kind), kind, at, page, caption, markdown, and the description that a table
+    is found by: the tables and images of read pages as rows."""
+
+    def numbered(kind: str) -> Column:
+        return F.transform(F.filter("elements", lambda e: e["kind"] == kind), lambda e, i: F.struct((i + 1).alias("n"), e.alias("e")))
 
-    return pages.select("page_id", "html").mapInPandas(read, "page_id long, title string, text string, tables array<array<array<string>>>, images array<string>")
+    both = F.concat(numbered("table"), numbered("image"))
+    rows = read.select(F.col("page_id").cast("string").alias("document_id"), F.explode(both).alias("r"))
+    rows = rows.select("document_id", "r.n", "r.e.*").withColumnRenamed("section", "page")
+    described = F.when(F.col("kind") == "table", T.describe_table(F.col("markdown"), F.col("caption")))
+    return rows.select("document_id", "n", "kind", "at", "page", "caption", "markdown", described.alias("description"))
 
 
 GOLDEN = "question string, reference_answer string, expected_document string, expected_page int, tag string"
