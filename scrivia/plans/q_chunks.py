@@ -115,8 +115,8 @@ def _run(stream, name, mode):
 
 
 def _stream(spark, sf, name):
-    df = table(spark, sf, name)
-    return spark.readStream.schema(df.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A table of one file or of a folder of files: a stream takes a pattern for either, but no path of a file."""
+    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def _log_stream(spark, sf):

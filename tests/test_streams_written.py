@@ -43,3 +43,13 @@ def test_windows_are_told_once_and_late_rows_go(spark):
     stream = spark.readStream.schema("created_at timestamp, cost_usd double, latency_ms long").option("maxFilesPerTrigger", 1).parquet(folder)
     got = q_chunks._run(streams.usage_windows(stream), "t_usage", "append").collect()
     assert sorted((str(r.start.date()), r.queries) for r in got) == [("2026-01-01", 1), ("2026-01-02", 1)]
+
+
+def test_streams_read_tables_of_one_file_and_of_many(spark, sf_dir):
+    folder = tempfile.mkdtemp(prefix="spark-")
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    documents.repartition(3).write.parquet(f"{folder}/documents.parquet")
+    wanted = documents.select(F.sha2(F.col("text").cast("binary"), 256)).distinct().count()
+    for sf in (sf_dir, folder):
+        assert q_chunks.stream_ingest(spark, sf).count() == wanted
+        assert q_chunks.stream_entities(spark, sf).count() > 0
