@@ -198,14 +198,43 @@ def refreshed_index(index: LexicalIndex, changed: DataFrame, gone: DataFrame | N
     # a span has at most 2 ** SPAN_BITS rows
     old.groupBy("segment", "span").agg(F.collect_list("pos").alias("docs")).write.parquet(f"{new.path}/dead")
     came, went = _totals(new.read(spark, "names").select(F.explode("lengths").alias("length"))), _totals(old)
-    dead = new.read(spark, "dead").withColumnRenamed("docs", "_dead")
-    hit = index.read("blocks").select("segment", "span", "term", "docs").join(dead, ["segment", "span"])
-    taken = hit.select("term", (-F.size(F.array_intersect("docs", "_dead"))).cast("long").alias("df")).where("df < 0")
+    taken = _taken(index.read("blocks").select("segment", "span", "term", "docs"), new.read(spark, "dead"))
     rows, length = index.rows + came[0] - went[0], index.total_length + came[1] - went[1]
     weights = _weights(index.weights.select("term", "df").unionByName(_counts(new, spark)).unionByName(taken), rows, length)
     return LexicalIndex((*index.segments, new), weights, rows, length)
 
 
+def _taken(blocks: DataFrame, dead: DataFrame) -> DataFrame:
+    """term, df below zero: how many of a block's postings are dead. Blocks of spans with dead places meet these, which
+    come first and are marked once a span."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked, key = np.zeros(1 << SPAN_BITS, bool), None
+        for batch in batches:
+            segments, spans, kinds = (batch.column(c).to_numpy() for c in ("segment", "span", "kind"))
+            docs, terms = batch.column("docs"), batch.column("term")
+            at, places = docs.offsets.to_numpy(), docs.values.to_numpy()
+            changes = (np.diff(segments) != 0) | (np.diff(spans) != 0) | (np.diff(kinds) != 0)
+            cuts = [0, *(np.flatnonzero(changes) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                own = places[at[a] : at[b]]
+                if (segments[a], spans[a]) != key:
+                    marked[:], key = False, (segments[a], spans[a])
+                if kinds[a] == DEAD:
+                    marked[own] = True
+                    continue
+                n = np.diff(np.append(0, np.cumsum(marked[own]))[at[a : b + 1] - at[a]])
+                met = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([terms.take(pa.array(a + met)), pa.array(-n[met].astype(np.int64))], ["term", "df"])
+
+    met = blocks.join(dead.select("segment", "span"), ["segment", "span"], "left_semi").withColumn("kind", F.lit(BLOCK))
+    both = met.unionByName(dead.withColumn("kind", F.lit(DEAD)), allowMissingColumns=True)
+    dealt = both.select("segment", "span", "kind", "term", "docs").repartition("segment", "span").sortWithinPartitions("segment", "span", F.desc("kind"))
+    return dealt.mapInArrow(count, "term string, df long")
+
+
 def content_version(corpus: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> tuple:
     """Number of rows and two checksums of all ids and texts, in any order."""
     return _version(corpus.select(F.col(id_col).alias("id"), text_hash(text_col).alias("hash")))

@@ -146,3 +146,23 @@ def test_empty_and_odd(spark):
     assert index.rows == 6 and [r.chunk_id for r in L.bm25(q, index).where("question_id = 1").orderBy("rank").collect()] == [5, 4]
     assert L.bm25(q.where("false"), index).count() == 0
     assert sorted(r[0] for r in spark.range(1).select(F.explode(T.tokenize(F.lit("_ a_b")))).collect()) == ["b"]
+
+
+def test_dead_postings_are_counted_once_a_span(spark):
+    """Counts of dead postings a term, for blocks of spans with and without dead places; blocks of a span may be many."""
+    rnd = random.Random(5)
+    blocks = [(g, s, f"t{t}", sorted(rnd.sample(range(4096), rnd.choice([1, 9, 300])))) for g in (0, 1) for s in range(3) for t in range(120)]
+    dead = [(0, 0, rnd.sample(range(4096), 2000)), (0, 2, [7]), (1, 1, list(range(4096)))]
+    marked = {(g, s): set(d) for g, s, d in dead}
+    wanted = Counter()
+    for g, s, t, docs in blocks:
+        wanted[t] -= len(marked.get((g, s), set()) & set(docs))
+    taken = L._taken(
+        spark.createDataFrame(blocks, "segment int, span long, term string, docs array<int>").repartition(5),
+        spark.createDataFrame(dead, "segment int, span long, docs array<int>"),
+    )
+    assert "array_intersect" not in taken._jdf.queryExecution().toString()
+    got = Counter()
+    for r in taken.collect():
+        got[r.term] += r.df
+    assert got == wanted and all(n < 0 for n in got.values())
