@@ -84,12 +84,12 @@ def table_cell(value: Column) -> Column:
 def rows_to_markdown(rows: Column) -> Column:
     """array<array<string>> as a pipe table: blank rows go, short rows are padded, the first row is the header."""
     cells = F.filter(F.transform(rows, lambda r: F.transform(r, table_cell)), lambda r: F.exists(r, lambda c: c != ""))
-    width = F.array_max(F.transform(cells, F.size))
-    line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), " | "), F.lit(" |"))
-    rule = F.concat(F.lit("|"), F.repeat(F.lit("---|"), width))
-    lines = F.transform(cells, line)
-    table = F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))), "\n")
-    return F.when(F.size(cells) == 0, F.lit("")).otherwise(table)
+    sized = let(cells, lambda c: F.struct(c.alias("rows"), F.array_max(F.transform(c, F.size)).alias("width")))
+    line = lambda width: lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), " | "), F.lit(" |"))
+    rule = lambda width: F.concat(F.lit("|"), F.repeat(F.lit("---|"), width))
+    below = lambda c: F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0)))
+    lines = lambda c, w: F.concat(F.transform(F.slice(c, 1, 1), line(w)), F.array(rule(w)), F.transform(below(c), line(w)))
+    return let(sized, lambda t: F.when(F.size(t["rows"]) == 0, F.lit("")).otherwise(F.array_join(lines(t["rows"], t["width"]), "\n")))
 
 
 def pipe_tables(text: Column) -> Column:
@@ -99,11 +99,11 @@ def pipe_tables(text: Column) -> Column:
 
 
 def describe_table(markdown: Column, caption: Column) -> Column:
-    lines = F.split(markdown, "\n")
-    names = F.filter(F.transform(F.split(F.regexp_replace(F.element_at(lines, 1), r"^\|+|\|+$", ""), r"\|"), strip), lambda c: c != "")
+    names = lambda lines: F.filter(F.transform(F.split(F.regexp_replace(F.element_at(lines, 1), r"^\|+|\|+$", ""), r"\|"), strip), lambda c: c != "")
     lead = F.when(F.coalesce(caption, F.lit("")) != "", F.concat(caption, F.lit(". "))).otherwise("")
-    rows = F.greatest(F.size(lines) - 2, F.lit(0))
-    return F.concat(lead, F.lit("Table with "), rows.cast("string"), F.lit(" rows and columns: "), F.array_join(F.slice(names, 1, 12), ", "), F.lit("."))
+    rows = lambda lines: F.greatest(F.size(lines) - 2, F.lit(0)).cast("string")
+    said = lambda lines: F.concat(lead, F.lit("Table with "), rows(lines), F.lit(" rows and columns: "), F.array_join(F.slice(names(lines), 1, 12), ", "), F.lit("."))
+    return let(F.split(markdown, "\n"), said)
 
 
 def describe_figure(kind: Column, page: Column, caption: Column, context: Column) -> Column:

@@ -48,8 +48,8 @@ def markdown_rows(spark, sf):
     n = table(spark, sf, "part")
     cells = F.array(F.col("p_partkey").cast("string"), F.concat(F.col("p_name"), F.lit(" |  x")), F.when(F.col("p_size") % 2 == 0, F.col("p_type")))
     rows = F.array(F.array(F.lit("key"), F.lit("name"), F.lit("type"), F.lit("none")), F.array(F.lit(""), F.lit(None).cast("string")), cells)
-    table_text = T.rows_to_markdown(rows)
-    return n.select("p_partkey", table_text.alias("markdown"), T.describe_table(table_text, F.col("p_brand")).alias("description"))
+    made = n.select("p_partkey", "p_brand", T.rows_to_markdown(rows).alias("markdown"))
+    return made.select("p_partkey", "markdown", T.describe_table(F.col("markdown"), F.col("p_brand")).alias("description"))
 
 
 def figures(spark, sf):

@@ -25,6 +25,14 @@ def test_markdown_rows(spark):
     assert one(spark, T.rows_to_markdown(rows)) == "| a | b\\|c |\n|---|---|\n| 1 2 |  |"
 
 
+def test_markdown_cells_are_made_once(spark):
+    """A cell's pattern stands once in the plan, so that the table is not made again for each row."""
+    rows = spark.range(2).select(F.array(F.array(F.lit("a"), F.lit("b")), F.array(F.col("id").cast("string"))).alias("rows"))
+    plan = rows.select(T.rows_to_markdown(F.col("rows")).alias("m"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("coalesce(") == 1
+    assert rows.select(T.describe_table(T.rows_to_markdown(F.col("rows")), F.lit("c")).alias("d"))._jdf.queryExecution().analyzed().toString().count("---|") == 1
+
+
 def test_citations_and_links(spark):
     assert one(spark, T.citations(F.lit("Herons nest early [2], storks late [1][2]. [123]"))) == [1, 2]
     assert one(spark, T.link_citations(F.lit("a [1] `[1]` [2](x) [9]"), F.lit(2))) == "a [1](#cite-1) `[1]` [2](x) [9]"
