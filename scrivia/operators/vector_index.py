@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivia.operators.index import MAX_BROADCAST_QUERIES, top
+from scrivia.operators.index import MAX_BROADCAST_QUERIES, PRODUCTS, handed_on, top
 from scrivia.operators.lineage import shared_path
 
 #: Rows from which centroids and codebooks are learned, rounds of learning, lists at most.
@@ -156,15 +156,18 @@ def _ivf_block(asked: DataFrame, index: VectorIndex, k: int, share: float, read:
 
     def by_code(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_list, tables, base = shared.value
+        known = np.full((len(tables), keep), -np.inf)  # a task hands on what is among the best that it has seen
         for batch in batches:
             lists = batch.column(2).to_numpy()
             codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, SUBSPACES)
             for at in np.unique(lists).tolist():
-                own = np.flatnonzero(lists == at)
-                for q in by_list.get(at, ()):
-                    scores = base[q, at] + tables[q][np.arange(SUBSPACES), codes[own]].sum(1)
-                    best = np.argsort(-scores, kind="stable")[:keep]
-                    columns = [pa.array(np.full(len(best), q, np.int32)), batch.column(0).take(pa.array(own[best])), pa.array(lists[own[best]]), pa.array(scores[best])]
+                asked, rows = np.array(by_list.get(at, ()), int), np.flatnonzero(lists == at)
+                step = max(keep, PRODUCTS // max(len(asked), 1))
+                for own in np.split(rows, range(step, len(rows), step)) if len(asked) else ():
+                    scores = base[asked, at][:, None] + sum(tables[asked, i][:, codes[own, i]] for i in range(SUBSPACES))
+                    known[asked], mine, which = handed_on(scores, known[asked], batch.column(0).take(pa.array(own)), keep)
+                    place = own[which]
+                    columns = [pa.array(asked[mine].astype(np.int32)), batch.column(0).take(pa.array(place)), pa.array(lists[place]), pa.array(scores[mine, which])]
                     yield pa.RecordBatch.from_arrays(columns, ["q", "vec_id", "list", "near"])
 
     stored = index.read(spark).where(F.col("list").isin(sorted(by_list)))

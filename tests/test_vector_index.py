@@ -64,3 +64,15 @@ def test_odd_vectors(spark, monkeypatch):
     assert [(r.query_id, r.vec_id) for r in got] == [(i, j) for i in range(5) for j in range(4)]
     empty = v.where("false")
     assert V.ivf_top(q, V.vector_index(empty), 4).count() == 0 and V.ivf_top(q.where("false"), index, 4).count() == 0
+
+
+def test_a_task_hands_on_few_candidates(spark, monkeypatch):
+    """A question looks into 200 lists; a task that reads many of them hands on what is among the best of all it has seen."""
+    rows = np.random.default_rng(2).normal(size=(3000, 16))
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    index = V.vector_index(table_of(spark, rows), 200)
+    near, top = [], V.top
+    monkeypatch.setattr(V, "top", lambda df, *a, **how: near.append(df) or top(df, *a, **how))
+    queries = table_of(spark, rows[:10]).withColumnRenamed("vec_id", "query_id")
+    assert V.ivf_top(queries, index, 2, share=1.0, read=2).count() == 20
+    assert near[0].count() < 2500  # 10 questions, 200 lists, 4 of each list: 8,000
