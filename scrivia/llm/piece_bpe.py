@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from scrivia.llm.common import hold_cache, table
+from scrivia.llm.common import SLICE, hold_cache, in_slices, table
 from scrivia.llm.pretokens import PIECE_MODEL, SPACE, piece_segments, splits_at_spaces
 
 #: Pre-tokens that a worker keeps; longer ones are not kept.
-CACHED = 400_000
+CACHED = 100_000
 LONGEST_KEPT = 64
 #: Symbols that meet in one run of rounds, and ids and bytes decoded in one step, about: this bounds memory.
 SYMBOLS = 500_000
@@ -32,7 +32,7 @@ DECODED_BYTES = 1_000_000
 #: Piece types of the model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 #: Texts whose new pre-tokens are encoded together.
-TOGETHER = 256
+TOGETHER = SLICE
 NO_PAIR = np.iinfo(np.int32).max
 
 
@@ -343,6 +343,21 @@ def decode_documents(docs: DataFrame, ids_col: str = "ids", text_col: str = "dec
     return docs.withColumn(text_col, decode(F.col(ids_col)))
 
 
+def code_documents(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded", model: str = PIECE_MODEL) -> DataFrame:
+    """Both of the above for whole texts and their own ids, in one pass: a worker holds the results of few rows."""
+
+    def code(texts: pa.Array) -> pa.Array:
+        hold_cache("piece_bpe", piece_bpe.cache_clear)
+        bpe = piece_bpe(model)
+        ids = bpe.encode(texts)
+        return pa.StructArray.from_arrays([ids, bpe.decode(ids)], ["ids", "decoded"])
+
+    coded = F.arrow_udf(in_slices(code), "struct<ids: array<int>, decoded: string>")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (ids_col, decoded_col)])
+    both = docs.select(own.alias("_own"), coded(F.col(text_col)).alias("_coded"))
+    return both.select("_own.*", F.col("_coded.ids").alias(ids_col), F.col("_coded.decoded").alias(decoded_col))
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of encoded and decoded documents."""
     return docs.select(
@@ -355,4 +370,4 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digests(decode_documents(encode_documents(docs)))
+    return digests(code_documents(docs))

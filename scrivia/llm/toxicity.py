@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivia.llm.common import held_out, hold_cache, stash, table
+from scrivia.llm.common import give_back, held_out, hold_cache, in_slices, stash, table
 
 #: What a written sign can stand for, in the channel (fixed values).
 READINGS = {
@@ -112,6 +112,8 @@ def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 total += np.bincount((codes[:-2] * LETTERS + codes[1:-1]) * LETTERS + codes[2:], minlength=LETTERS**3)
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_pydict({"gram": pa.array(seen, pa.int64()), "n": pa.array(total[seen], pa.int64())})
+    batch = None
+    give_back()
 
 
 def character_model(docs: DataFrame, text_col: str = "text") -> bytes:
@@ -414,7 +416,6 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> Da
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         model = shared.value
         hold_cache("toxicity", _workers.clear)
@@ -425,7 +426,7 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> Da
         scorer = _workers[key]
         return pa.array([probability(scorer(t.as_py() or ""), model) for t in texts], pa.float64())
 
-    return docs.withColumn("score", score(F.col(text_col)))
+    return docs.withColumn("score", F.arrow_udf(in_slices(score), "double")(F.col(text_col)))
 
 
 def restore_documents(docs: DataFrame, trigrams: bytes, text_col: str = "text", out_col: str = "restored") -> DataFrame:
