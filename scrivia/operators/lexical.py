@@ -28,6 +28,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 POOL = 24
 #: Rows of a span: 2 to this power. Buckets of terms. Segments that an index has before they are made one.
 SPAN_BITS, BUCKETS, MAX_SEGMENTS = 12, 32, 12
+#: Rows of a span that are inverted at once.
+INVERTED = 1024
 #: Terms of questions (with their question, 40 bytes or so) that one pass over the blocks is given.
 MAX_BROADCAST_TERMS = 200_000
 #: Ids of changed rows that are broadcast to the older segments; more meet them in a shuffle.
@@ -96,12 +98,11 @@ def _inverted(id_type: pa.DataType):
     def invert(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             spans = whole.column("place").to_numpy() >> SPAN_BITS
-            cuts = [0, *(np.flatnonzero(spans[1:] != spans[:-1]) + 1).tolist(), len(spans)]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
+            ends = [0, *(np.flatnonzero(spans[1:] != spans[:-1]) + 1).tolist(), len(spans)]
+            cuts = [(at, min(at + INVERTED, b)) for a, b in zip(ends, ends[1:]) for at in range(a, b, INVERTED)]
+            for a, b in cuts:
                 part, span, n = whole.slice(a, b - a), int(spans[a]), b - a
-                # a span may be spread over batches; places within it stay apart
+                # a span is spread over slices and batches; places within it stay apart
                 places = (part.column("place").to_numpy() & ((1 << SPAN_BITS) - 1)).astype(np.int32)
                 tokens = part.column("tokens")
                 words = tokens.flatten().dictionary_encode()
