@@ -273,6 +273,14 @@ def index_of_version(spark: SparkSession, name: str, corpus: DataFrame, id_col:
     return _stored[key][1]
 
 
+def holding(index: LexicalIndex, asked: DataFrame) -> DataFrame:
+    """question_id, id of the rows that hold a question's term (question_id, term). Only blocks of these terms are read; rows
+    that have died since may be among them, and rows come once a segment."""
+    places = index.read("blocks").join(asked, "term").select("question_id", "segment", "span", F.explode("docs").alias("pos"))
+    names = index.read("names").select("segment", "span", F.inline(F.arrays_zip(F.col("docs").alias("pos"), F.col("ids").alias("id"))))
+    return places.join(names, ["segment", "span", "pos"]).select("question_id", "id")
+
+
 def question_terms(questions: DataFrame, id_col: str = "question_id", text_col: str = "question") -> DataFrame:
     """question, term, times."""
     return questions.select(id_col, F.explode(T.tokenize(F.col(text_col))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("times"))

@@ -66,7 +66,7 @@ def evaluated(spark, sf):
     """Hit and reciprocal rank of every benchmark question in its BM25 ranking."""
     index, items = _index(spark, sf), _questions(spark, sf)
     ranked = L.bm25(items, index).select("question_id", F.col("chunk_id").alias("id"), "rank")
-    gold = I.containing(items, _corpus(spark, sf)).withColumnRenamed("chunk_id", "id")
+    gold = I.containing_by(index, items, _corpus(spark, sf)).withColumnRenamed("chunk_id", "id")
     return A.first_hits(items, ranked, gold)
 
 
